@@ -36,5 +36,34 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES: dict[str, Query] = {"op1_token_counts": op1_token_counts, "op2_license_scan": op2_license_scan, "op6_toxicity": op6_toxicity}
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skyloom.llm.simhash import simhash_groups
+
+    return simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skyloom.llm.mixing import mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from skyloom.llm.lines import drop_repeated_lines
+
+    kept = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_token_counts": op1_token_counts,
+    "op2_license_scan": op2_license_scan,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_toxicity": op6_toxicity,
+    "op8_source_mixing": op8_source_mixing,
+    "op10_line_dedup": op10_line_dedup,
+}
 ORACLES: dict[str, str] = {}
