@@ -36,6 +36,17 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents: their items and the longest overlap."""
+    from pyspark.sql import functions as F
+
+    from skyloom.llm.decontaminate import add_overlaps
+
+    found = add_overlaps(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).where(F.size("overlaps") > 0)
+    longest = F.array_max(F.transform("overlaps", lambda h: F.struct(h["words"].alias("words"), h["equal"].alias("equal"))))
+    return found.select("doc_id", F.transform("overlaps", lambda h: h["item_id"]).alias("item_ids"), F.size("overlaps").cast("long").alias("n_items"), longest["words"].alias("overlap_words"), (longest["equal"] / longest["words"]).alias("similarity"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyloom.llm.simhash import simhash_groups
 
@@ -61,9 +72,29 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scan": op2_license_scan,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_toxicity": op6_toxicity,
     "op8_source_mixing": op8_source_mixing,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_line_dedup": r"""
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+    FROM documents
+), keyed AS (
+    SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed,
+           translate(trimmed, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM lines
+), owners AS (
+    SELECT key, min(doc_id) AS owner FROM keyed WHERE length(trimmed) >= 10 GROUP BY key
+), marked AS (
+    SELECT k.doc_id, k.line, k.pos, coalesce(o.owner < k.doc_id, false) AS gone
+    FROM keyed k LEFT JOIN owners o ON k.key = o.key AND length(k.trimmed) >= 10
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""",
+}
