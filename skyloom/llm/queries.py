@@ -47,6 +47,12 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", F.transform("overlaps", lambda h: h["item_id"]).alias("item_ids"), F.size("overlaps").cast("long").alias("n_items"), longest["words"].alias("overlap_words"), (longest["equal"] / longest["words"]).alias("similarity"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skyloom.llm.embeddings import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyloom.llm.simhash import simhash_groups
 
@@ -73,12 +79,35 @@ QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scan": op2_license_scan,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_toxicity": op6_toxicity,
     "op8_source_mixing": op8_source_mixing,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op4_embedding_near_dedup": r"""
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), ok AS (
+    SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+    WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+      AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
+), reach AS (
+    SELECT vec_id AS a, vec_id AS b FROM v
+    UNION
+    SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (
+    SELECT a, min(b) AS component_id FROM reach GROUP BY a
+), sums AS (
+    SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT v.vec_id, coalesce(s.n, 0)::BIGINT AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN least c ON v.vec_id = c.a LEFT JOIN sums s ON v.vec_id = s.a
+""",
     "op10_line_dedup": r"""
 WITH lines AS (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
