@@ -59,6 +59,12 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skyloom.llm.lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyloom.llm.mixing import mix
 
@@ -82,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_source_mixing": op8_source_mixing,
     "op10_line_dedup": op10_line_dedup,
 }
