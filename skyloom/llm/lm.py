@@ -308,7 +308,7 @@ def trained(train: DataFrame, vocab: Vocabulary, rounds: int, parts: int) -> Net
         share = train.where(F.pmod(F.xxhash64("did"), F.lit(parts)) == k).select("text")
         copies = cut(map_batches(share, learn, "n long, net binary"))
         few = max(1, math.isqrt(copies.rdd.getNumPartitions()))
-        rows = average(average(copies.repartition(few)).coalesce(1)).collect()
+        rows = average(average(copies.repartition(few)).repartition(1)).collect()
         if rows:
             net = Network.of(np.frombuffer(rows[0]["net"], np.float32))
     return net
