@@ -240,16 +240,16 @@ def in_leap_second(tt: Column) -> Column:
 
 
 def tt2000_utc_ns(tt: Column) -> Column:
-    """Nanoseconds since 1970 in UTC; during a leap second the clock's last second repeats."""
+    """Nanoseconds since 2000-01-01 12:00 in UTC; during a leap second the clock's last second repeats."""
     steps = tt_steps()
     ends = [*(at for at, _ in steps[1:]), (1 << 63) - 1]
     rows = F.array(*(F.struct(F.lit(at).alias("since"), F.lit(s * 1_000_000_000).alias("s"), F.lit(end - 1_000_000_000).alias("last")) for (at, s), end in reversed([*zip(steps, ends, strict=True)])))
-    lag = lambda guess: F.round(leap_seconds(from_us(whole(guess, 1000))) * 1e9).cast("long")
+    lag = lambda guess: F.round(leap_seconds(from_us(whole(guess, 1000) + J2000_US)) * 1e9).cast("long")
     # Before 1972 the leap depends on the UTC day: it is looked up for a guess, and again for the result.
     early = lambda p: p - bound(p - lag(p), lag)
 
     def utc(t: Column) -> Column:
-        plain = t - TT_OFFSET_NS + J2000_US * 1000
+        plain = t - TT_OFFSET_NS
         now = bound(F.get(F.filter(rows, lambda r: r["since"] <= t), F.lit(0)), lambda r: plain - r["s"] - F.when(t >= r["last"], F.lit(1_000_000_000)).otherwise(0))
         return F.when(t >= steps[0][0], now).otherwise(bound(plain, early))
 
@@ -264,7 +264,7 @@ def tt2000_to_timestamp(tt: Column) -> Column:
 def _timestamp_of_tt(tt: Column) -> Column:
     last, first = F.lit("9999-12-31 23:59:59.999999").cast("timestamp_ntz"), F.lit("0000-01-01 00:00:00").cast("timestamp_ntz")
     ns = tt2000_utc_ns(F.when(tt > ILLEGAL_TT, tt))
-    return F.when(tt == FILL_TT, last).when(tt <= ILLEGAL_TT, first).otherwise(from_us(whole(ns, 1000)))
+    return F.when(tt == FILL_TT, last).when(tt <= ILLEGAL_TT, first).otherwise(from_us(whole(ns, 1000) + J2000_US))
 
 
 def tt2000_rest(tt: Column) -> Column:
@@ -278,11 +278,11 @@ def encode_tt2000(tt: Column, style: int = 3) -> Column:
 
 
 def _tt_text(tt: Column, ns: Column, style: int) -> Column:
-    ts = from_us(whole(ns, 1000))
+    ts = from_us(whole(ns, 1000) + J2000_US)
     second = F.when(in_leap_second(tt), F.lit("60")).otherwise(F.date_format(ts, "ss"))
     tail = F.lpad(F.pmod(ns, F.lit(1_000_000_000)).cast("string"), 9, "0")
     if style == 1:
-        inside = F.pmod(ns, F.lit(86_400_000_000_000)).cast("decimal(38,0)")
+        inside = F.pmod(F.pmod(ns, F.lit(86_400_000_000_000)) + 43_200_000_000_000, F.lit(86_400_000_000_000)).cast("decimal(38,0)")
         cut = F.floor(inside * F.lit(10**10).cast("decimal(38,0)") / F.lit(86_400_000_000_000).cast("decimal(38,0)")).cast("long")
         return F.concat(F.date_format(ts, "yyyyMMdd"), F.lit("."), F.lpad(cut.cast("string"), 10, "0"))
     if style == 2:
@@ -310,7 +310,7 @@ def tt2000_to_epoch(tt: Column) -> Column:
 
 def _epoch_of_tt(tt: Column) -> Column:
     ms = whole(tt2000_utc_ns(F.when(tt > ILLEGAL_TT, tt)) + F.when(in_leap_second(tt), F.lit(1_000_000_000)).otherwise(0), 1_000_000)
-    return F.when(tt == FILL_TT, F.lit(FILL_MS)).when(tt <= ILLEGAL_TT, F.lit(0.0)).otherwise((ms + EPOCH_UNIX_MS).cast("double"))
+    return F.when(tt == FILL_TT, F.lit(FILL_MS)).when(tt <= ILLEGAL_TT, F.lit(0.0)).otherwise((ms + EPOCH_UNIX_MS + J2000_US // 1000).cast("double"))
 
 
 def epoch_to_tt2000(epoch: Column) -> Column:

@@ -41,7 +41,6 @@ def query(table: str, sql: str | None):
     return register
 
 
-TS, VALUE = F.col("ts"), F.col("value")
 MS = "(epoch_us(ts) // 1000 + 62167219200000)"
 TT = "((epoch_us(ts) - 946728000000000) * 1000 + 32184000000 + 37000000000)"
 
@@ -92,90 +91,90 @@ def out_of_range_counts(lineitem):
 
 @query("events", f"SELECT event_id, {MS}::DOUBLE AS epoch FROM events")
 def epoch_encode(events):
-    return events.select("event_id", T.epoch_of(TS).alias("epoch"))
+    return events.select("event_id", T.epoch_of(F.col("ts")).alias("epoch"))
 
 
 @query("events", "SELECT event_id, make_timestamp(epoch_us(ts) // 1000 * 1000) AS t FROM events")
 def epoch_decode(events):
-    return events.select("event_id", T.epoch_to_timestamp(T.epoch_of(TS)).alias("t"))
+    return events.select("event_id", T.epoch_to_timestamp(T.epoch_of(F.col("ts"))).alias("t"))
 
 
 @query("events", "SELECT event_id, strftime(ts, '%d-%b-%Y %H:%M:%S.%g') AS s0, strftime(ts, '%Y%m%d%H%M%S') AS s2, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS s3, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') AS s4 FROM events")
 def epoch_strings(events):
-    e = T.epoch_of(TS)
+    e = T.epoch_of(F.col("ts"))
     return events.select("event_id", *(T.encode_epoch(e, s).alias(f"s{s}") for s in (0, 2, 3, 4)))
 
 
 @query("events", "SELECT event_id, strftime(ts, '%Y%m%d') || '.' || lpad(least(9999999, (epoch_us(ts) // 1000 % 86400000 * 10000000 * 2 + 86400000) // 172800000)::VARCHAR, 7, '0') AS s1 FROM events")
 def epoch_day_fraction(events):
-    return events.select("event_id", T.encode_epoch(T.epoch_of(TS), 1).alias("s1"))
+    return events.select("event_id", T.encode_epoch(T.epoch_of(F.col("ts")), 1).alias("s1"))
 
 
 @query("events", "SELECT event_id, strftime(ts, '%j') || '/' || strftime(ts, '%Y') || ' ' || strftime(ts, '%H:%M:%S') || '.' || strftime(ts, '%g') || ' ' || strftime(ts, '%b') || ' <' AS s FROM events")
 def epoch_template(events):
-    return events.select("event_id", T.encode_epoch_template(T.epoch_of(TS), "<doy>/<year> <hour>:<min>:<sec>.<fos> <month> <<").alias("s"))
+    return events.select("event_id", T.encode_epoch_template(T.epoch_of(F.col("ts")), "<doy>/<year> <hour>:<min>:<sec>.<fos> <month> <<").alias("s"))
 
 
 @query("events", "SELECT event_id, year(ts)::INT AS year, month(ts)::INT AS month, day(ts)::INT AS day, hour(ts)::INT AS hour, minute(ts)::INT AS minute, second(ts)::INT AS second, (epoch_us(ts) // 1000 % 1000)::INT AS msec FROM events")
 def epoch_breakdown(events):
-    return events.select("event_id", T.epoch_breakdown(T.epoch_of(TS)).alias("p")).select("event_id", *(f"p.{c}" for c in ("year", "month", "day", "hour", "minute", "second", "msec")))
+    return events.select("event_id", T.epoch_breakdown(T.epoch_of(F.col("ts"))).alias("p")).select("event_id", *(f"p.{c}" for c in ("year", "month", "day", "hour", "minute", "second", "msec")))
 
 
 @query("events", f"SELECT event_id, {MS}::DOUBLE AS epoch FROM events")
 def epoch_compute(events):
-    p = events.select("event_id", T.parts_of(TS).alias("p"))
+    p = events.select("event_id", T.parts_of(F.col("ts")).alias("p"))
     return p.select("event_id", T.compute_epoch(*(F.col(f"p.{c}") for c in ("year", "month", "day", "hour", "minute", "second", "msec"))).alias("epoch"))
 
 
 @query("events", f"SELECT event_id, {MS}::DOUBLE AS e0, {MS}::DOUBLE AS e4, -1.0::DOUBLE AS bad FROM events")
 def epoch_parse(events):
-    e = T.epoch_of(TS)
+    e = T.epoch_of(F.col("ts"))
     return events.select("event_id", T.parse_epoch(T.encode_epoch(e, 0), 0).alias("e0"), T.parse_epoch(T.encode_epoch(e, 4), 4).alias("e4"), T.parse_epoch(F.lit("no time"), 0).alias("bad"))
 
 
 @query("events", "SELECT event_id, (epoch_us(ts) // 1000000 + 62167219200)::DOUBLE AS sec, (epoch_us(ts) % 1000000 * 1000000)::DOUBLE AS psec, ts AS back FROM events")
 def epoch16_split(events):
-    e = events.select("event_id", T.epoch16_of(TS).alias("e"))
+    e = events.select("event_id", T.epoch16_of(F.col("ts")).alias("e"))
     return e.select("event_id", "e.sec", "e.psec", T.epoch16_to_timestamp(F.col("e")).alias("back"))
 
 
 @query("events", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.' || lpad((epoch_us(ts) % 1000000)::VARCHAR, 6, '0') || '000000' AS s4 FROM events")
 def epoch16_string(events):
-    return events.select("event_id", T.encode_epoch16(T.epoch16_of(TS), 4).alias("s4"))
+    return events.select("event_id", T.encode_epoch16(T.epoch16_of(F.col("ts")), 4).alias("s4"))
 
 
 @query("events", f"SELECT event_id, {TT} AS tt FROM events")
 def tt2000_encode(events):
-    return events.select("event_id", T.tt2000_of(TS).alias("tt"))
+    return events.select("event_id", T.tt2000_of(F.col("ts")).alias("tt"))
 
 
 @query("events", "SELECT event_id, ts AS t, false AS leap FROM events")
 def tt2000_decode(events):
-    tt = T.tt2000_of(TS)
+    tt = T.tt2000_of(F.col("ts"))
     return events.select("event_id", T.tt2000_to_timestamp(tt).alias("t"), T.in_leap_second(tt).alias("leap"))
 
 
 @query("events", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.' || lpad((epoch_us(ts) % 1000000)::VARCHAR, 6, '0') || '000' AS s3, strftime(ts, '%Y%m%d%H%M%S') AS s2 FROM events")
 def tt2000_strings(events):
-    tt = T.tt2000_of(TS)
+    tt = T.tt2000_of(F.col("ts"))
     return events.select("event_id", T.encode_tt2000(tt, 3).alias("s3"), T.encode_tt2000(tt, 2).alias("s2"))
 
 
 @query("events", f"SELECT event_id, {TT} AS tt, {MS}::DOUBLE AS epoch, {TT} - (epoch_us(ts) % 1000) * 1000 AS back FROM events")
 def tt2000_convert(events):
-    tt = T.tt2000_of(TS)
-    return events.select("event_id", T.parse_tt2000(T.encode_tt2000(tt, 3)).alias("tt"), T.tt2000_to_epoch(tt).alias("epoch"), T.epoch_to_tt2000(T.epoch_of(TS)).alias("back"))
+    tt = T.tt2000_of(F.col("ts"))
+    return events.select("event_id", T.parse_tt2000(T.encode_tt2000(tt, 3)).alias("tt"), T.tt2000_to_epoch(tt).alias("epoch"), T.epoch_to_tt2000(T.epoch_of(F.col("ts"))).alias("back"))
 
 
 @query("events", "SELECT event_id, julian(ts::DATE)::BIGINT AS jd FROM events")
 def julian_days(events):
-    return events.select("event_id", T.julian_day(TS).alias("jd"))
+    return events.select("event_id", T.julian_day(F.col("ts")).alias("jd"))
 
 
 @query("events", f"SELECT event_id, 63871200000000.0::DOUBLE + value * 60000.0 AS t22, CASE WHEN value - 20 > 0 THEN 63871200000000.0::DOUBLE + (value - 20) * 1000.0 ELSE -1e31::DOUBLE END AS t23 FROM events")
 def virtual_epochs(events):
     base = F.lit(63_871_200_000_000.0)
-    return events.select("event_id", T.virtual_epoch(base, VALUE, "Minutes").alias("t22"), T.virtual_epoch_export(base, VALUE - 20).alias("t23"))
+    return events.select("event_id", T.virtual_epoch(base, F.col("value"), "Minutes").alias("t22"), T.virtual_epoch_export(base, F.col("value") - 20).alias("t23"))
 
 
 @query("events", "SELECT * FROM (VALUES (42::BIGINT, DATE '2017-01-01')) t(n_rows, last_date)")
@@ -237,17 +236,17 @@ def array_flattened(embeddings):
 @query("events", "SELECT event_id, CASE WHEN event_type = 'error' THEN -1 ELSE value END AS value FROM events")
 def quality_flag(events):
     flag = F.when(F.col("event_type") == "error", 1).otherwise(0)
-    return events.select("event_id", Fl.flagged(VALUE, flag, -1.0).alias("value"))
+    return events.select("event_id", Fl.flagged(F.col("value"), flag, -1.0).alias("value"))
 
 
 @query("events", "WITH h AS (SELECT user_id % 4 AS g, event_id - row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS island, event_id FROM events WHERE value > 20) SELECT g, min(event_id) AS first_rec, max(event_id) AS last_rec, count(*)::BIGINT AS n_recs FROM h GROUP BY g, island")
 def passing_runs(events):
-    return Fl.passing_runs(events.withColumn("g", F.col("user_id") % 4), "event_id", VALUE > 20, ["g"])
+    return Fl.passing_runs(events.withColumn("g", F.col("user_id") % 4), "event_id", F.col("value") > 20, ["g"])
 
 
 @query("events", "SELECT event_id, value FROM events WHERE value > 100 ORDER BY event_id LIMIT 1")
 def first_match(events):
-    return Fl.first_match(events.select("event_id", "value"), "event_id", VALUE > 100)
+    return Fl.first_match(events.select("event_id", "value"), "event_id", F.col("value") > 100)
 
 
 GAPS = """
@@ -338,7 +337,7 @@ def merge_prefixed(events):
 @query("events", "SELECT CASE WHEN event_id >= 50 THEN event_id + 10 ELSE event_id END AS event_id, value FROM events UNION ALL SELECT event_id + 50, -value FROM events WHERE event_id < 10")
 def record_insert(events):
     base = events.select("event_id", "value")
-    return R.insert_records(base, base.where("event_id < 10").withColumn("value", -VALUE), "event_id", 50)
+    return R.insert_records(base, base.where("event_id < 10").withColumn("value", -F.col("value")), "event_id", 50)
 
 
 @query("events", "SELECT (row_number() OVER (ORDER BY event_id) - 1)::BIGINT AS event_id, value FROM events WHERE event_id NOT BETWEEN 100 AND 199")
