@@ -17,7 +17,7 @@ from skyloom.llm.decontaminate import add_overlaps
 from skyloom.llm.lines import drop_repeated_lines
 from skyloom.llm.mixing import mix
 from skyloom.llm.runtime import ensure_checkpoint_dir, id_of
-from skyloom.llm.simhash import simhash_groups
+from skyloom.llm.simhash import near_copies
 from skyloom.llm.toxicity import toxicity_score, train
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -36,8 +36,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each SimHash group; of rows with one id, all or none."""
-    groups = simhash_groups(docs.select("doc_id", "text"))
+    """Keeps the document with the smallest id of each SimHash group (five-word shingles, similarity about 0.8); of rows with one id, all or none."""
+    groups = near_copies(docs.select("doc_id", "text"))
     kept = groups.where("doc_id <=> component_id").select(id_of("doc_id").alias("__id")).distinct()
     return docs.withColumn("__id", id_of("doc_id")).join(kept, "__id", "left_semi").select(*COLUMNS)
 
