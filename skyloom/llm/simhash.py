@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.llm.components import components
@@ -178,26 +178,17 @@ def short_ball(shorts: Column) -> Column:
     return F.flatten(F.transform(shorts, lambda s, i: F.transform(flips, lambda f: s.bitwiseXOR(f).bitwiseOR(F.shiftleft(i.cast("long"), BITS)))))
 
 
-def bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads (key, rep) sorted by both; each member of a bucket is paired with the first and with the one before it."""
-    first = last = key = None
-    for batch in batches:
-        keys, reps = (batch.column(c).to_numpy() for c in ("key", "rep"))
-        if not len(keys):
-            continue
-        if key is not None:
-            keys, reps = np.concatenate([[key], keys]), np.concatenate([[last], reps])
-        same = keys[1:] == keys[:-1]
-        starts = np.concatenate([[0], np.flatnonzero(~same) + 1])
-        heads = reps[starts].copy()
-        if key is not None:
-            heads[0] = first
-        own = np.searchsorted(starts, np.arange(len(keys)), "right") - 1
-        at = np.flatnonzero(same) + 1
-        pairs = np.unique(np.concatenate([np.stack([heads[own[at]], reps[at]], 1), np.stack([reps[at - 1], reps[at]], 1)]), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        first, last, key = heads[-1], reps[-1], keys[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+def neighbour_pairs(dealt: DataFrame) -> DataFrame:
+    """(a, b) candidates from (key, rep): for each text and short fingerprint its smallest and its nearest smaller neighbour.
+
+    A bucket is a window in order of rep, so every member but the first meets the
+    first and the one before it; of all buckets of one fingerprint one pair of
+    each kind stays, so candidates grow with the texts whatever their groups' size.
+    """
+    w = Window.partitionBy("key").orderBy("rep")
+    met = dealt.select("key", "rep", F.first("rep").over(w).alias("head"), F.lag("rep").over(w).alias("before")).where("before IS NOT NULL AND head <> rep")
+    kept = met.groupBy("rep", F.shiftright("key", BITS).alias("which")).agg(F.min("head").alias("head"), F.max("before").alias("before"))
+    return kept.select(F.col("rep").alias("a"), F.explode(F.array_distinct(F.array("head", "before"))).alias("b")).where("a <> b").distinct()
 
 
 def near_copies(docs: DataFrame, text: str = "text", radius: int = WIDE_RADIUS) -> DataFrame:
@@ -215,8 +206,7 @@ def near_copies(docs: DataFrame, text: str = "text", radius: int = WIDE_RADIUS)
     # Two hashes stand for a whole sketch where equal ones meet.
     rows = cut(rows.withColumns({"k1": F.xxhash64("shorts", "wide"), "k2": F.xxhash64("wide", "shorts")}))
     nodes = cut(rows.groupBy("k1", "k2").agg(F.min("did").alias("rep"), F.first("shorts").alias("shorts"), F.first("wide").alias("wide")))
-    dealt = nodes.select(F.explode(short_ball(F.col("shorts"))).alias("key"), "rep").repartition("key").sortWithinPartitions("key", "rep")
-    pairs = map_batches(dealt, bucket_pairs, "a long, b long").distinct()
+    pairs = neighbour_pairs(nodes.select(F.explode(short_ball(F.col("shorts"))).alias("key"), "rep"))
     wide = nodes.select("rep", "wide")
     met = pairs.join(wide.select(F.col("rep").alias("a"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("rep").alias("b"), F.col("wide").alias("wb")), "b")
     apart = sum((F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(1, 4)), F.bit_count(F.col("wa")[0].bitwiseXOR(F.col("wb")[0])))
