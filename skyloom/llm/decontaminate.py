@@ -65,7 +65,7 @@ def longest_overlap(equal: np.ndarray, similarity: float) -> tuple[int, int, int
     high = rank + 1 - similarity * (at + 1)  # value after it
     best = (0, 0, 0)
     for start in range(len(at)):
-        if len(at) - start <= best[2]:
+        if at[-1] - at[start] < best[1]:
             break
         ends = np.flatnonzero(high[start:] >= low[start] - 1e-9)
         if len(ends):
