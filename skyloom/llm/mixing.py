@@ -47,9 +47,10 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, scale: float = SCALE, mo
     every = Window.partitionBy()
     t = t.withColumn("ratio", F.col("cap") / F.col("w"))
     t = t.withColumns({"capped": F.coalesce(F.sum("cap").over(before), F.lit(0.0)), "w_before": F.coalesce(F.sum("w").over(before), F.lit(0.0)), "w_all": F.sum("w").over(every), "budget": F.sum("source_size").over(every) * F.lit(float(scale))})
-    # The level if this source and all after it are uncapped; right where it does not pass the source's own ratio.
+    # The level if this source and all after it are uncapped. It rises up to the first source whose ratio it does not
+    # pass, and falls from there on: the largest of those that pass no ratio is the right one.
     t = t.withColumn("level", (F.col("budget") - F.col("capped")) / (F.col("w_all") - F.col("w_before")))
-    t = t.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every))
+    t = t.withColumn("level", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every))
     return t.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
