@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm.licenses import FOLD
-from skyloom.llm.runtime import as_bytes, offsets_of
+from skyloom.llm.runtime import offsets_of, texts_in
 
 #: Five picked words each. A test shows that a stretch of 12, 15, 20 or 25 words with a fifth of them changed always keeps one of these whole.
 MASKS = ("11111", "110111", "111011")
@@ -152,8 +152,7 @@ def finder(bench, similarity: float, shortest: int):
     @F.arrow_udf(f"array<{HIT}>")
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            texts = as_bytes(column)
-            yield pa.array([h for i in range(0, len(texts), 500) for h in overlaps_of(texts[i : i + 500], bench.value, similarity, shortest)], ARROW)
+            yield pa.array([h for texts in texts_in(column) for h in overlaps_of(texts, bench.value, similarity, shortest)], ARROW)
 
     return found
 

@@ -56,6 +56,12 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
+def texts_in(column: pa.Array, step: int = 200) -> Iterator[list[bytes]]:
+    """as_bytes in lists of step rows, so that Python never holds a second copy of a whole batch."""
+    for at in range(0, len(column), step):
+        yield as_bytes(column.slice(at, step))
+
+
 def offsets_of(lengths: np.ndarray) -> np.ndarray:
     """Starts of consecutive runs of the given lengths, and the total at the end."""
     out = np.zeros(len(lengths) + 1, np.int64)

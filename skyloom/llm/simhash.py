@@ -23,6 +23,7 @@ fingerprints.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.llm.components import components
-from skyloom.llm.runtime import as_bytes, cut, id_of, map_batches, null_id_back
+from skyloom.llm.runtime import cut, id_of, map_batches, null_id_back, texts_in
 
 RADIUS = 3
 #: Bits hidden by each of the three masks.
@@ -64,7 +65,7 @@ def fingerprints(docs: DataFrame, text: str, width: int) -> DataFrame:
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [signed(fingerprint(x, width)) for x in as_bytes(batch.column("text"))]
+            found = [signed(fingerprint(x, width)) for part in texts_in(batch.column("text")) for x in part]
             yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array(found, pa.int64())], ["did", "fp"])
 
     return map_batches(docs.select(id_of("doc_id").alias("did"), F.col(text).alias("text")), printed, "did long, fp long")
@@ -155,12 +156,13 @@ def simhash_groups(docs: DataFrame, text: str = "text", width: int = 3, radius:
 SHORTS, BITS, WIDE_RADIUS = 9, 40, 45
 
 
-def majority(features: set[bytes], size: int) -> np.ndarray:
-    """Bits that over half of the features' hashes of size bytes (a multiple of 16) have."""
-    if not features:
-        return np.zeros(8 * size, bool)
-    raw = b"".join([xxhash.xxh3_128_digest(f, k) for f in features for k in range(size // 16)])
-    return 2 * np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, size), axis=1).sum(0, dtype=np.int64) > len(features)
+def majority(features: set[bytes], size: int, step: int = 4096) -> np.ndarray:
+    """Bits that over half of the features' hashes of size bytes (a multiple of 16) have; step features at a time."""
+    ones = np.zeros(8 * size, np.int64)
+    for part in batched(features, step):
+        raw = b"".join([xxhash.xxh3_128_digest(f, k) for f in part for k in range(size // 16)])
+        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, size), axis=1).sum(0, dtype=np.int64)
+    return 2 * ones > len(features)
 
 
 def sketch(data: bytes) -> tuple[list[int], list[int]]:
@@ -199,7 +201,7 @@ def near_copies(docs: DataFrame, text: str = "text", radius: int = WIDE_RADIUS)
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch(x) for x in as_bytes(batch.column("text"))]
+            found = [sketch(x) for part in texts_in(batch.column("text")) for x in part]
             yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["did", "shorts", "wide"])
 
     rows = map_batches(docs.select(id_of("doc_id").alias("did"), F.col(text).alias("text")), drawn, "did long, shorts array<long>, wide array<long>")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm.licenses import FOLD
-from skyloom.llm.runtime import as_bytes, crc_bucket, map_batches
+from skyloom.llm.runtime import as_bytes, crc_bucket, map_batches, texts_in
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 20_000
@@ -204,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t, lexicon) for t in as_bytes(batch.column("text"))]
+            rows = [features(t, lexicon) for part in texts_in(batch.column("text")) for t in part]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("label"), batch.column("fold")], ["x", "label", "fold"])
 
     rows = map_batches(sample.withColumn("fold", F.xxhash64("text")), measured, "x array<double>, label int, fold long").collect()
@@ -224,7 +224,7 @@ def toxicity_score(text: Column | str, model: Model) -> Column:
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            yield pa.array(model.scores(as_bytes(column)), pa.float64())
+            yield pa.array([s for part in texts_in(column) for s in model.scores(part)], pa.float64())
 
     return scored(text)
 
