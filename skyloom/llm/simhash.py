@@ -12,8 +12,9 @@ bucket a breadth-first walk over the fingerprints not yet reached finds links
 enough to connect what is connected, and never writes all pairs.
 
 near_copies links by similarity instead: several short fingerprints of two-word
-shingles, with a radius of two, propose pairs in the same way, and a 256-bit
-SimHash of five-word shingles judges them.
+shingles, with a radius of two, propose pairs in the same way, a 256-bit SimHash
+of five-word shingles drops what is far apart, and the share of common five-word
+shingles, counted in full, decides.
 
 Defined results: null or wordless text has fingerprint zero, linked like any
 other; a null id ranks after every other id; rows with equal ids keep their own
@@ -151,9 +152,11 @@ def simhash_groups(docs: DataFrame, text: str = "text", width: int = 3, radius:
     return out.select(null_id_back("did").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), null_id_back("component").alias("component_id"))
 
 
-#: Short fingerprints for near_copies: how many, bits of each; and the longest distance of 256-bit SimHashes that links.
-#: At a shingle similarity of 0.8 the expected distance is 39 of 256, at 0.5 it is 69, and 128 for unrelated texts.
-SHORTS, BITS, WIDE_RADIUS = 9, 40, 45
+#: Short fingerprints for near_copies: how many, bits of each; and the longest distance of 256-bit SimHashes that is verified.
+#: At a shingle similarity of 0.8 the expected distance is 39 of 256 (standard deviation 6), and 128 for unrelated texts.
+SHORTS, BITS, WIDE_RADIUS = 9, 40, 64
+#: The share of common five-word shingles from which texts are near copies.
+SIMILARITY = 0.8
 
 
 def majority(features: set[bytes], size: int, step: int = 4096) -> np.ndarray:
@@ -165,15 +168,48 @@ def majority(features: set[bytes], size: int, step: int = 4096) -> np.ndarray:
     return 2 * ones > len(features)
 
 
+def shingles(words: list[bytes], width: int) -> set[bytes]:
+    """The different shingles; of fewer words the whole sequence, of none nothing."""
+    if len(words) < width:
+        return {b" ".join(words)} if words else set()
+    return {b" ".join(x) for x in zip(*(words[i:] for i in range(width)), strict=False)}
+
+
 def sketch(data: bytes) -> tuple[list[int], list[int]]:
     """(short fingerprints, four longs of the 256-bit SimHash); each different shingle counts once."""
     words = data.lower().split()
-    shingles = lambda n: {b" ".join(x) for x in zip(*(words[i:] for i in range(n)), strict=False)} if len(words) >= n else {b" ".join(words)} if words else set()
-    short = majority(shingles(2), 48)[: SHORTS * BITS].reshape(SHORTS, BITS) @ (1 << np.arange(BITS, dtype=np.int64))
-    wide = np.frombuffer(np.packbits(majority(shingles(5), 32)).tobytes(), np.int64)
+    short = majority(shingles(words, 2), 48)[: SHORTS * BITS].reshape(SHORTS, BITS) @ (1 << np.arange(BITS, dtype=np.int64))
+    wide = np.frombuffer(np.packbits(majority(shingles(words, 5), 32)).tobytes(), np.int64)
     return short.tolist(), wide.tolist()
 
 
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(did, set): the 64-bit hashes of each text's different five-word shingles."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, at = batch.column("did"), 0
+            for part in texts_in(batch.column("text")):
+                found = [np.unique(np.fromiter((xxhash.xxh3_64_intdigest(s) for s in shingles(x.lower().split(), 5)), np.uint64)).view(np.int64) for x in part]
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), pa.array(found, pa.list_(pa.int64()))], ["did", "set"])
+                at += len(part)
+
+    return map_batches(docs, hashed, "did long, set array<long>")
+
+
+def alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts have that share of common shingles. texts: (did, text).
+
+    The larger id's set is joined first: of it there are few pairs, while the
+    rows that meet at a hub are large enough for the engine to split them.
+    """
+    ids = pairs.select(F.col("a").alias("did")).unionByName(pairs.select(F.col("b").alias("did"))).distinct()
+    sets = cut(shingle_sets(texts.join(ids, "did", "left_semi").select("did", "text")))
+    both = pairs.join(sets.select(F.col("did").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("did").alias("b"), F.col("set").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
 def short_ball(shorts: Column) -> Column:
     """Variants of each short fingerprint in at most one bit, tagged by its number."""
     flips = F.array(*(F.lit(x) for x in (0, *(1 << b for b in range(BITS)))))
@@ -193,8 +229,8 @@ def neighbour_pairs(dealt: DataFrame) -> DataFrame:
     return kept.select(F.col("rep").alias("a"), F.explode(F.array_distinct(F.array("head", "before"))).alias("b")).where("a <> b").distinct()
 
 
-def near_copies(docs: DataFrame, text: str = "text", radius: int = WIDE_RADIUS) -> DataFrame:
-    """(doc_id, component_id) for each row: groups of texts whose five-word shingles are about 0.8 or more alike.
+def near_copies(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, radius: int = WIDE_RADIUS) -> DataFrame:
+    """(doc_id, component_id) for each row: groups linked by texts that share 0.8 or more of their five-word shingles.
 
     Nulls, empty texts and repeated rows as in simhash_groups.
     """
@@ -204,7 +240,8 @@ def near_copies(docs: DataFrame, text: str = "text", radius: int = WIDE_RADIUS)
             found = [sketch(x) for part in texts_in(batch.column("text")) for x in part]
             yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["did", "shorts", "wide"])
 
-    rows = map_batches(docs.select(id_of("doc_id").alias("did"), F.col(text).alias("text")), drawn, "did long, shorts array<long>, wide array<long>")
+    texts = docs.select(id_of("doc_id").alias("did"), F.col(text).alias("text"))
+    rows = map_batches(texts, drawn, "did long, shorts array<long>, wide array<long>")
     # Two hashes stand for a whole sketch where equal ones meet.
     rows = cut(rows.withColumns({"k1": F.xxhash64("shorts", "wide"), "k2": F.xxhash64("wide", "shorts")}))
     nodes = cut(rows.groupBy("k1", "k2").agg(F.min("did").alias("rep"), F.first("shorts").alias("shorts"), F.first("wide").alias("wide")))
@@ -212,7 +249,8 @@ def near_copies(docs: DataFrame, text: str = "text", radius: int = WIDE_RADIUS)
     wide = nodes.select("rep", "wide")
     met = pairs.join(wide.select(F.col("rep").alias("a"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("rep").alias("b"), F.col("wide").alias("wb")), "b")
     apart = sum((F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(1, 4)), F.bit_count(F.col("wa")[0].bitwiseXOR(F.col("wb")[0])))
-    roots = components(met.where(apart <= radius).select("a", "b"))
+    near = cut(met.where(apart <= radius).select("a", "b"))
+    roots = components(alike(near, texts, similarity))
     group = nodes.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.coalesce("component", "rep").alias("component"))
     out = rows.join(group, (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")))
     return out.select(null_id_back("did").alias("doc_id"), null_id_back("component").alias("component_id"))

@@ -179,6 +179,46 @@ def test_near_copies(spark, empty):
     assert simhash.near_copies(empty).count() == 0
 
 
+def shingle_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def near_copy_roots(ids, texts, similarity=0.8):
+    """Smallest id of each row's component, by comparing all pairs."""
+    sets, root = [shingle_set(t) for t in texts], list(range(len(texts)))
+    for i, p in enumerate(sets):
+        for j, q in enumerate(sets[:i]):
+            if len(p & q) >= similarity * len(p | q):
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    return [min(ids[k] for k in range(len(ids)) if root[k] == r) for r in root]
+
+
+def edited_texts(rng, bases, copies):
+    """Texts and copies with 0 to 14 of 200 words changed, so on both sides of a similarity of 0.8."""
+    out = []
+    for _ in range(bases):
+        words = prose(rng, 200).split()
+        out.append(" ".join(words))
+        for _ in range(copies):
+            w = list(words)
+            for at in rng.sample(range(200), rng.randrange(15)):
+                w[at] = f"new{rng.randrange(10**6)}"
+            out.append(" ".join(w))
+    return out
+
+
+def test_near_copies_are_brute_force(spark):
+    rng = random.Random(23)
+    texts = [*edited_texts(rng, 15, 3), None, "", "Two words", "two  WORDS", "one"]
+    ids = list(range(100, 100 + len(texts)))
+    rng.shuffle(ids)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(zip(ids, texts, strict=True), "doc_id long, text string")).collect()}
+    want = dict(zip(ids, near_copy_roots(ids, texts), strict=True))
+    assert 20 < len(set(want.values())) < 60 and got == want
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (7, 7), (3, 4), (4, 5), (5, 6)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
