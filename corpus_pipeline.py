@@ -36,7 +36,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each SimHash group (five-word shingles, similarity about 0.8); of rows with one id, all or none."""
+    """Keeps the document with the smallest id of each SimHash group (five-word shingles, similarity 0.8 or more); of rows with one id, all or none."""
     groups = near_copies(docs.select("doc_id", "text"))
     kept = groups.where("doc_id <=> component_id").select(id_of("doc_id").alias("__id")).distinct()
     return docs.withColumn("__id", id_of("doc_id")).join(kept, "__id", "left_semi").select(*COLUMNS)
