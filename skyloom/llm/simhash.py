@@ -23,7 +23,8 @@ fingerprints.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import batched
 
 import numpy as np
@@ -157,6 +158,8 @@ def simhash_groups(docs: DataFrame, text: str = "text", width: int = 3, radius:
 SHORTS, BITS, WIDE_RADIUS = 9, 40, 64
 #: The share of common five-word shingles from which texts are near copies.
 SIMILARITY = 0.8
+#: Rounds of near_copies that try a few partners of each text before all that are left are tried.
+ROUNDS = 2
 
 
 def majority(features: set[bytes], size: int, step: int = 4096) -> np.ndarray:
@@ -216,17 +219,54 @@ def short_ball(shorts: Column) -> Column:
     return F.flatten(F.transform(shorts, lambda s, i: F.transform(flips, lambda f: s.bitwiseXOR(f).bitwiseOR(F.shiftleft(i.cast("long"), BITS)))))
 
 
-def neighbour_pairs(dealt: DataFrame) -> DataFrame:
-    """(a, b) candidates from (key, rep): for each text and short fingerprint its smallest and its nearest smaller neighbour.
+def crowded(rows: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one label."""
+    w = Window.partitionBy("key")
+    return rows.withColumns({"__low": F.min("label").over(w), "__high": F.max("label").over(w)}).where("__low < __high").drop("__low", "__high")
 
-    A bucket is a window in order of rep, so every member but the first meets the
-    first and the one before it; of all buckets of one fingerprint one pair of
-    each kind stays, so candidates grow with the texts whatever their groups' size.
+
+def some_partners(met: DataFrame) -> DataFrame:
+    """(a, b): for each text at most two of those it meets under another label, over all its buckets; a > b.
+
+    A first guess that joins large groups cheaply; nothing rests on what it leaves out.
+    """
+    w = Window.partitionBy("key").orderBy("label", "rep")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    row = F.struct("rep", "label")
+    near = met.select("rep", "label", F.first(row).over(whole).alias("head"), F.lag(row).over(w).alias("before"), F.last(row).over(whole).alias("tail"))
+    other = lambda c: F.when(F.col(c)["label"] != F.col("label"), F.col(c)["rep"])
+    kept = near.select("rep", other("head").alias("head"), F.coalesce(other("before"), other("tail")).alias("before")).groupBy("rep").agg(F.min("head").alias("head"), F.max("before").alias("before"))
+    pairs = kept.select("rep", F.explode(F.array("head", "before")).alias("with")).where("with IS NOT NULL")
+    return pairs.select(F.greatest("rep", "with").alias("a"), F.least("rep", "with").alias("b")).distinct()
+
+
+def all_partners(met: DataFrame) -> DataFrame:
+    """(a, b), a > b: all texts that meet in some bucket under different labels."""
+    x, y = (met.select("key", F.col("rep").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+    return x.join(y, "key").where("la <> lb AND a > b").select("a", "b").distinct()
+
+
+def linked_copies(dealt: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) as components gives them, from (key, rep): every two texts that share a key are verified or already connected.
+
+    ROUNDS rounds try a few partners of each text and give connected texts one
+    label; the last tries all pairs that are left under different labels.
     """
-    w = Window.partitionBy("key").orderBy("rep")
-    met = dealt.select("key", "rep", F.first("rep").over(w).alias("head"), F.lag("rep").over(w).alias("before")).where("before IS NOT NULL AND head <> rep")
-    kept = met.groupBy("rep", F.shiftright("key", BITS).alias("which")).agg(F.min("head").alias("head"), F.max("before").alias("before"))
-    return kept.select(F.col("rep").alias("a"), F.explode(F.array_distinct(F.array("head", "before"))).alias("b")).where("a <> b").distinct()
+    met = cut(crowded(dealt.withColumn("label", F.col("rep"))))
+    tried, links = [], []
+    for k in range(ROUNDS + 1):
+        pairs = some_partners(met) if k < ROUNDS else all_partners(met)
+        for x in tried:
+            pairs = pairs.join(x, ["a", "b"], "left_anti")
+        tried.append(cut(pairs))
+        links.append(cut(verified(tried[-1])))
+        roots = components(reduce(DataFrame.unionByName, links))
+        if k < ROUNDS:
+            met = met.drop("label").join(roots, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
+            met = cut(crowded(met))
+            if met.isEmpty():
+                break
+    return roots
 
 
 def near_copies(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, radius: int = WIDE_RADIUS) -> DataFrame:
@@ -245,12 +285,14 @@ def near_copies(docs: DataFrame, text: str = "text", similarity: float = SIMILAR
     # Two hashes stand for a whole sketch where equal ones meet.
     rows = cut(rows.withColumns({"k1": F.xxhash64("shorts", "wide"), "k2": F.xxhash64("wide", "shorts")}))
     nodes = cut(rows.groupBy("k1", "k2").agg(F.min("did").alias("rep"), F.first("shorts").alias("shorts"), F.first("wide").alias("wide")))
-    pairs = neighbour_pairs(nodes.select(F.explode(short_ball(F.col("shorts"))).alias("key"), "rep"))
     wide = nodes.select("rep", "wide")
-    met = pairs.join(wide.select(F.col("rep").alias("a"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("rep").alias("b"), F.col("wide").alias("wb")), "b")
     apart = sum((F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(1, 4)), F.bit_count(F.col("wa")[0].bitwiseXOR(F.col("wb")[0])))
-    near = cut(met.where(apart <= radius).select("a", "b"))
-    roots = components(alike(near, texts, similarity))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(wide.select(F.col("rep").alias("a"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("rep").alias("b"), F.col("wide").alias("wb")), "b")
+        return alike(cut(met.where(apart <= radius).select("a", "b")), texts, similarity)
+
+    roots = linked_copies(nodes.select(F.explode(short_ball(F.col("shorts"))).alias("key"), "rep"), verified)
     group = nodes.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.coalesce("component", "rep").alias("component"))
     out = rows.join(group, (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")))
     return out.select(null_id_back("did").alias("doc_id"), null_id_back("component").alias("component_id"))

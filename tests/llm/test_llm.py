@@ -219,6 +219,25 @@ def test_near_copies_are_brute_force(spark):
     assert 20 < len(set(want.values())) < 60 and got == want
 
 
+def test_near_copies_in_a_crowd_are_brute_force(spark):
+    rng = random.Random(41)
+    base = prose(rng, 200).split()
+    texts = []
+    for _ in range(120):  # a template: all meet, most below 0.8, and the true partner is any of them
+        w = list(base)
+        for at in rng.sample(range(5, 195), 4):
+            w[at] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    for k in range(0, 120, 6):
+        w = texts[k].split()
+        w[rng.randrange(200)] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    ids = rng.sample(range(1000), len(texts))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(zip(ids, texts, strict=True), "doc_id long, text string")).collect()}
+    want = dict(zip(ids, near_copy_roots(ids, texts), strict=True))
+    assert 80 < len(set(want.values())) < 135 and got == want
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (7, 7), (3, 4), (4, 5), (5, 6)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
