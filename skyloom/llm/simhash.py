@@ -11,10 +11,9 @@ Equal fingerprints are one node. Buckets are read as a sorted stream; inside a
 bucket a breadth-first walk over the fingerprints not yet reached finds links
 enough to connect what is connected, and never writes all pairs.
 
-near_copies links by similarity instead: several short fingerprints of two-word
-shingles, with a radius of two, propose pairs in the same way, a 256-bit SimHash
-of five-word shingles drops what is far apart, and the share of common five-word
-shingles, counted in full, decides.
+near_copies links by similarity instead: two texts that share 0.8 of their
+five-word shingles share one of the rarest fifth of each, so these propose pairs,
+without loss, and the share of common shingles, counted in full, decides.
 
 Defined results: null or wordless text has fingerprint zero, linked like any
 other; a null id ranks after every other id; rows with equal ids keep their own
@@ -23,9 +22,9 @@ fingerprints.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -153,22 +152,13 @@ def simhash_groups(docs: DataFrame, text: str = "text", width: int = 3, radius:
     return out.select(null_id_back("did").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), null_id_back("component").alias("component_id"))
 
 
-#: Short fingerprints for near_copies: how many, bits of each; and the longest distance of 256-bit SimHashes that is verified.
-#: At a shingle similarity of 0.8 the expected distance is 39 of 256 (standard deviation 6), and 128 for unrelated texts.
-SHORTS, BITS, WIDE_RADIUS = 9, 40, 64
 #: The share of common five-word shingles from which texts are near copies.
 SIMILARITY = 0.8
 #: Rounds of near_copies that try a few partners of each text before all that are left are tried.
 ROUNDS = 2
-
-
-def majority(features: set[bytes], size: int, step: int = 4096) -> np.ndarray:
-    """Bits that over half of the features' hashes of size bytes (a multiple of 16) have; step features at a time."""
-    ones = np.zeros(8 * size, np.int64)
-    for part in batched(features, step):
-        raw = b"".join([xxhash.xxh3_128_digest(f, k) for f in part for k in range(size // 16)])
-        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, size), axis=1).sum(0, dtype=np.int64)
-    return 2 * ones > len(features)
+#: Texts whose shingles are counted to put common ones last, and the count from which one is common. They set the order of
+#: the prefixes and so the number of candidates; the result is the same in any order.
+ORDERED_BY, COMMON = 5_000, 8
 
 
 def shingles(words: list[bytes], width: int) -> set[bytes]:
@@ -178,45 +168,69 @@ def shingles(words: list[bytes], width: int) -> set[bytes]:
     return {b" ".join(x) for x in zip(*(words[i:] for i in range(width)), strict=False)}
 
 
-def sketch(data: bytes) -> tuple[list[int], list[int]]:
-    """(short fingerprints, four longs of the 256-bit SimHash); each different shingle counts once."""
-    words = data.lower().split()
-    short = majority(shingles(words, 2), 48)[: SHORTS * BITS].reshape(SHORTS, BITS) @ (1 << np.arange(BITS, dtype=np.int64))
-    wide = np.frombuffer(np.packbits(majority(shingles(words, 5), 32)).tobytes(), np.int64)
-    return short.tolist(), wide.tolist()
+def shingle_hashes(data: bytes) -> np.ndarray:
+    """The sorted 64-bit hashes of a text's different five-word shingles, as signed longs."""
+    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(x) for x in shingles(data.lower().split(), 5)), np.uint64)).view(np.int64)
+
+
+def node_of(hashes: np.ndarray) -> int:
+    """Stands for a whole set of shingles."""
+    return signed(xxhash.xxh3_64_intdigest(hashes.tobytes(), 7))
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """As many of a text's rarest shingles as hold one of any text that is at least so similar.
+
+    Whoever lacks all of them has too few of the rest: of n shingles, n - ceil(similarity * n) + 1.
+    """
+    n = len(hashes)
+    if not n:
+        return hashes
+    often = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        often = np.where(common[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, often))[: n - math.ceil(similarity * n - 1e-9) + 1]]
+
+
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, counts) of the shingles that many of about ORDERED_BY texts hold."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in texts_in(batch.column("text")):
+                found, n = np.unique(np.concatenate([shingle_hashes(x) for x in part]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["hash", "n"])
+
+    every = max(1, texts.count() // ORDERED_BY)
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text")
+    found = map_batches(some, counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).toArrow()
+    hashes, counts = found.column("hash").to_numpy(), found.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(did, set): the 64-bit hashes of each text's different five-word shingles."""
+    """(node, set): each text's node and the hashes of its shingles."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, at = batch.column("did"), 0
             for part in texts_in(batch.column("text")):
-                found = [np.unique(np.fromiter((xxhash.xxh3_64_intdigest(s) for s in shingles(x.lower().split(), 5)), np.uint64)).view(np.int64) for x in part]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), pa.array(found, pa.list_(pa.int64()))], ["did", "set"])
-                at += len(part)
+                found = [shingle_hashes(x) for x in part]
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["node", "set"])
 
-    return map_batches(docs, hashed, "did long, set array<long>")
+    return map_batches(docs.select("text"), hashed, "node long, set array<long>")
 
 
-def alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose texts have that share of common shingles. texts: (did, text).
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes that have that share of common shingles. sets: (node, set).
 
-    The larger id's set is joined first: of it there are few pairs, while the
+    The larger node's set is joined first: of it there are few pairs, while the
     rows that meet at a hub are large enough for the engine to split them.
     """
-    ids = pairs.select(F.col("a").alias("did")).unionByName(pairs.select(F.col("b").alias("did"))).distinct()
-    sets = cut(shingle_sets(texts.join(ids, "did", "left_semi").select("did", "text")))
-    both = pairs.join(sets.select(F.col("did").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("did").alias("b"), F.col("set").alias("sb")), "b")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-
-
-def short_ball(shorts: Column) -> Column:
-    """Variants of each short fingerprint in at most one bit, tagged by its number."""
-    flips = F.array(*(F.lit(x) for x in (0, *(1 << b for b in range(BITS)))))
-    return F.flatten(F.transform(shorts, lambda s, i: F.transform(flips, lambda f: s.bitwiseXOR(f).bitwiseOR(F.shiftleft(i.cast("long"), BITS)))))
+    return both.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
 
 
 def crowded(rows: DataFrame) -> DataFrame:
@@ -225,37 +239,49 @@ def crowded(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"__low": F.min("label").over(w), "__high": F.max("label").over(w)}).where("__low < __high").drop("__low", "__high")
 
 
-def some_partners(met: DataFrame) -> DataFrame:
+def may_be_alike(na: Column, ia: Column, nb: Column, ib: Column, similarity: float) -> Column:
+    """Whether texts of na and nb shingles that meet at places ia and ib of their orders can be similar enough.
+
+    Up to there they have at most min(ia, ib) + 1 in common, and behind it the lesser rest.
+    """
+    return F.least(ia, ib) + 1 + F.least(na - ia - 1, nb - ib - 1) >= F.lit(similarity / (1 + similarity)) * (na + nb) - 1e-6
+
+
+def some_partners(met: DataFrame, similarity: float) -> DataFrame:
     """(a, b): for each text at most two of those it meets under another label, over all its buckets; a > b.
 
     A first guess that joins large groups cheaply; nothing rests on what it leaves out.
     """
     w = Window.partitionBy("key").orderBy("label", "rep")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    row = F.struct("rep", "label")
-    near = met.select("rep", "label", F.first(row).over(whole).alias("head"), F.lag(row).over(w).alias("before"), F.last(row).over(whole).alias("tail"))
-    other = lambda c: F.when(F.col(c)["label"] != F.col("label"), F.col(c)["rep"])
+    row = F.struct("rep", "label", "size", "at")
+    near = met.select("rep", "label", "size", "at", F.first(row).over(whole).alias("head"), F.lag(row).over(w).alias("before"), F.last(row).over(whole).alias("tail"))
+
+    def other(c: str) -> Column:
+        x = F.col(c)
+        return F.when((x["label"] != F.col("label")) & may_be_alike(F.col("size"), F.col("at"), x["size"], x["at"], similarity), x["rep"])
+
     kept = near.select("rep", other("head").alias("head"), F.coalesce(other("before"), other("tail")).alias("before")).groupBy("rep").agg(F.min("head").alias("head"), F.max("before").alias("before"))
     pairs = kept.select("rep", F.explode(F.array("head", "before")).alias("with")).where("with IS NOT NULL")
     return pairs.select(F.greatest("rep", "with").alias("a"), F.least("rep", "with").alias("b")).distinct()
 
 
-def all_partners(met: DataFrame) -> DataFrame:
-    """(a, b), a > b: all texts that meet in some bucket under different labels."""
-    x, y = (met.select("key", F.col("rep").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
-    return x.join(y, "key").where("la <> lb AND a > b").select("a", "b").distinct()
+def all_partners(met: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a > b: all texts that meet in some bucket under different labels and may be similar enough."""
+    x, y = (met.select("key", F.col("rep").alias(c), F.col("label").alias(f"l{c}"), F.col("size").alias(f"n{c}"), F.col("at").alias(f"i{c}")) for c in "ab")
+    may = may_be_alike(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib"), similarity)
+    return x.join(y, "key").where((F.col("la") != F.col("lb")) & (F.col("a") > F.col("b")) & may).select("a", "b").distinct()
 
 
-def linked_copies(dealt: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component) as components gives them, from (key, rep): every two texts that share a key are verified or already connected.
+def linked_copies(met: DataFrame, verified: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """(node, component) as components gives them, from (key, rep, size, at, label), labels being reps: every two texts that share a key are verified or already connected.
 
     ROUNDS rounds try a few partners of each text and give connected texts one
     label; the last tries all pairs that are left under different labels.
     """
-    met = cut(crowded(dealt.withColumn("label", F.col("rep"))))
     tried, links = [], []
     for k in range(ROUNDS + 1):
-        pairs = some_partners(met) if k < ROUNDS else all_partners(met)
+        pairs = some_partners(met, similarity) if k < ROUNDS else all_partners(met, similarity)
         for x in tried:
             pairs = pairs.join(x, ["a", "b"], "left_anti")
         tried.append(cut(pairs))
@@ -269,30 +295,32 @@ def linked_copies(dealt: DataFrame, verified: Callable[[DataFrame], DataFrame])
     return roots
 
 
-def near_copies(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, radius: int = WIDE_RADIUS) -> DataFrame:
+def near_copies(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) for each row: groups linked by texts that share 0.8 or more of their five-word shingles.
 
-    Nulls, empty texts and repeated rows as in simhash_groups.
+    Texts without words are one group; repeated rows as in simhash_groups.
     """
+    texts = docs.select(id_of("doc_id").alias("did"), F.col(text).alias("text"))
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(texts))
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch(x) for part in texts_in(batch.column("text")) for x in part]
-            yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["did", "shorts", "wide"])
+            ids, at = batch.column("did"), 0
+            for part in texts_in(batch.column("text")):
+                found = [shingle_hashes(x) for x in part]
+                keys = [prefix(x, *sent.value, similarity) for x in found]
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), pa.array([node_of(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["did", "node", "size", "keys"])
+                at += len(part)
 
-    texts = docs.select(id_of("doc_id").alias("did"), F.col(text).alias("text"))
-    rows = map_batches(texts, drawn, "did long, shorts array<long>, wide array<long>")
-    # Two hashes stand for a whole sketch where equal ones meet.
-    rows = cut(rows.withColumns({"k1": F.xxhash64("shorts", "wide"), "k2": F.xxhash64("wide", "shorts")}))
-    nodes = cut(rows.groupBy("k1", "k2").agg(F.min("did").alias("rep"), F.first("shorts").alias("shorts"), F.first("wide").alias("wide")))
-    wide = nodes.select("rep", "wide")
-    apart = sum((F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(1, 4)), F.bit_count(F.col("wa")[0].bitwiseXOR(F.col("wb")[0])))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(wide.select(F.col("rep").alias("a"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("rep").alias("b"), F.col("wide").alias("wb")), "b")
-        return alike(cut(met.where(apart <= radius).select("a", "b")), texts, similarity)
-
-    roots = linked_copies(nodes.select(F.explode(short_ball(F.col("shorts"))).alias("key"), "rep"), verified)
-    group = nodes.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.coalesce("component", "rep").alias("component"))
-    out = rows.join(group, (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")))
-    return out.select(null_id_back("did").alias("doc_id"), null_id_back("component").alias("component_id"))
+    rows = cut(map_batches(texts, drawn, "did long, node long, size int, keys array<long>"))
+    nodes = cut(rows.groupBy("node").agg(F.min("did").alias("did"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    least = nodes.select("node", "did")
+    dealt = nodes.select(F.col("node").alias("rep"), "size", F.posexplode("keys").alias("at", "key"))
+    met = cut(crowded(dealt.withColumn("label", F.col("rep"))))
+    ids = least.join(met.select(F.col("rep").alias("node")).distinct(), "node", "left_semi").select("did").distinct()
+    sets = cut(shingle_sets(texts.join(ids, "did", "left_semi")))
+    roots = linked_copies(met, lambda pairs: alike(pairs, sets, similarity), similarity)
+    group = least.join(roots, "node", "left").withColumn("root", F.coalesce("component", "node")).select("node", "root", "did")
+    first = group.groupBy("root").agg(F.min("did").alias("component_id"))
+    out = rows.select("did", "node").join(group.select("node", "root").join(first, "root"), "node")
+    return out.select(null_id_back("did").alias("doc_id"), null_id_back("component_id").alias("component_id"))

@@ -238,6 +238,19 @@ def test_near_copies_in_a_crowd_are_brute_force(spark):
     assert 80 < len(set(want.values())) < 135 and got == want
 
 
+def test_near_copies_with_passages_are_brute_force(spark):
+    rng = random.Random(43)
+    texts = []
+    for k in range(40):
+        words = prose(rng, 200).split()
+        new = [f"new{rng.randrange(10**6)}" for _ in range(rng.randrange(30, 60))]
+        texts += [" ".join(words), " ".join(words + new if k % 2 else words[:80] + new[:16] + words[96:])]
+    ids = rng.sample(range(1000), len(texts))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(zip(ids, texts, strict=True), "doc_id long, text string")).collect()}
+    want = dict(zip(ids, near_copy_roots(ids, texts), strict=True))
+    assert 40 < len(set(want.values())) < 75 and got == want
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (7, 7), (3, 4), (4, 5), (5, 6)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
