@@ -40,8 +40,8 @@ from skyloom.llm.runtime import as_bytes, crc_bucket, cut, id_of, map_batches, n
 HEAD = 200_000
 HIDDEN, CLASSES, SLOTS = 24, 32, 32
 WINDOW, STREAMS = 24, 64
-#: Each round trains on the training documents whose id hash falls in its one of so many parts.
-ROUNDS, PARTS = 2, 16
+#: Each round trains on the training documents whose id hash falls in its one of so many parts; as many rounds as parts take all.
+ROUNDS = PARTS = 16
 END = b""  # no word is empty
 NAMES = ("x", "u", "uc", "wc", "bc", "wo", "bo")
 

@@ -251,6 +251,14 @@ def test_near_copies_with_passages_are_brute_force(spark):
     assert 40 < len(set(want.values())) < 75 and got == want
 
 
+def test_language_model_learns_from_every_part(spark):
+    vocab = lm.Vocabulary({w: i for i, w in enumerate([b"", b"one", b"two"])}, np.array([200, 400, 400]), 1000, 3)
+    ids = spark.range(3000).select(F.col("id").alias("did"), F.lit("one two one two").alias("text"))
+    fresh = lm.Network.fresh(vocab.counts[: vocab.frequent], vocab.rare_tokens).flat()
+    last = ids.where(F.pmod(F.xxhash64("did"), F.lit(lm.PARTS)) == lm.PARTS - 1)
+    assert last.count() and not np.array_equal(lm.trained(last, vocab, lm.ROUNDS, lm.PARTS).flat(), fresh)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (7, 7), (3, 4), (4, 5), (5, 6)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
