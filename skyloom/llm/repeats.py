@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.runtime import as_bytes, cut, ensure_checkpoint_dir, id_of, map_batches, null_id_back, offsets_of
+from skyloom.llm.runtime import as_bytes, cut, ensure_checkpoint_dir, id_of, map_batches, null_id_back, offsets_of, remove_folder
 from skyloom.llm.spans import Hashes, anchors, mix
 
 LENGTH, SEED, CROWD = 400, 64, 1000
@@ -187,8 +187,7 @@ def repeated_spans(rows: DataFrame, length: int, seed: int, crowd: int) -> DataF
     few = near.where("hashes IS NULL").select("seed", "block", "did", "th", "place", "decided", "bytes").repartition("seed").sortWithinPartitions("seed", "block")
     spans = decided.unionByName(map_batches(few, rank_windows(length), "did long, th int, a long, b long")).unionByName(crowded_spans(near.where("hashes IS NOT NULL"), length))
     out = cut(spans.groupBy("did", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove_folder(spark, folder)
     return out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 #: Stands for a null id wherever ids are ordered or joined: after every other.
 NULL_ID = (1 << 63) - 1
 
+#: Rows of numbers up to which a table is broadcast; a larger one is joined by shuffle.
+FEW = 200_000
+
 #: White space of the word rule `[^\x20\x09-\x0D]+`; bytes.split() uses the same six.
 BLANKS = " \t\n\x0b\f\r"
 
@@ -30,20 +34,34 @@ def null_id_back(column: str | Column) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a folder of our own only where none is set."""
+    """The session's shared checkpoint folder. Where none is set, a folder of our own in local mode, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not found and not re.match(r"local(\[[\d*,]+\])?$", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="skyloom-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of our own in whatever store holds it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Computes df now and cuts its lineage with a reliable checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """df computed once and, only if it has at most so many rows, marked for broadcast."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow by another name, so that operators read alike."""
     return df.mapInArrow(fn, schema)

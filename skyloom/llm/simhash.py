@@ -11,9 +11,12 @@ Equal fingerprints are one node. Buckets are read as a sorted stream; inside a
 bucket a breadth-first walk over the fingerprints not yet reached finds links
 enough to connect what is connected, and never writes all pairs.
 
-near_copies links by similarity instead: two texts that share 0.8 of their
-five-word shingles share one of the rarest fifth of each, so these propose pairs,
-without loss, and the share of common shingles, counted in full, decides.
+near_copies links by similarity. SimHash fingerprints of five-word shingles that
+meet in a ball propose first, and what they connect is settled. At a similarity
+of 0.8 fingerprints of 64 bits differ in ten bits on average, beyond any ball that
+can be written out, so the rest is proposed without loss: two texts that share
+0.8 of their shingles share one of the rarest fifth of each. The share of common
+shingles, counted in full, decides on every pair.
 
 Defined results: null or wordless text has fingerprint zero, linked like any
 other; a null id ranks after every other id; rows with equal ids keep their own
@@ -33,7 +36,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.llm.components import components
-from skyloom.llm.runtime import cut, id_of, map_batches, null_id_back, texts_in
+from skyloom.llm.runtime import cut, few, id_of, map_batches, null_id_back, texts_in
+from skyloom.llm.spans import mix
 
 RADIUS = 3
 #: Bits hidden by each of the three masks.
@@ -139,14 +143,19 @@ def bucket_links(radius: int):
     return run
 
 
+def ball_links(nodes: DataFrame, radius: int) -> DataFrame:
+    """(a, b) between representatives of fingerprints that meet in a ball; nodes: (fp, rep), each fingerprint once."""
+    shuffled = nodes.select(F.explode(ball(F.col("fp"))).alias("key"), "fp", "rep").repartition("key").sortWithinPartitions("key")
+    return map_batches(shuffled, bucket_links(radius), "a long, b long")
+
+
 def simhash_groups(docs: DataFrame, text: str = "text", width: int = 3, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row; component_id is the smallest id reachable by links of at most radius (0 to 3) bits."""
     if not 0 <= radius <= 3:
         raise ValueError("the masks are made for radii up to 3")
     prints = cut(fingerprints(docs, text, width))
     nodes = prints.groupBy("fp").agg(F.min("did").alias("rep"))
-    shuffled = nodes.select(F.explode(ball(F.col("fp"))).alias("key"), "fp", "rep").repartition("key").sortWithinPartitions("key")
-    roots = components(map_batches(shuffled, bucket_links(radius), "a long, b long"))
+    roots = components(ball_links(nodes, radius))
     group = nodes.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("__fp"), F.coalesce("component", "rep").alias("component"))
     out = prints.join(group, F.col("fp") == F.col("__fp"))
     return out.select(null_id_back("did").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), null_id_back("component").alias("component_id"))
@@ -154,23 +163,34 @@ def simhash_groups(docs: DataFrame, text: str = "text", width: int = 3, radius:
 
 #: The share of common five-word shingles from which texts are near copies.
 SIMILARITY = 0.8
-#: Rounds of near_copies that try a few partners of each text before all that are left are tried.
-ROUNDS = 2
+WIDTH = 5
 #: Texts whose shingles are counted to put common ones last, and the count from which one is common. They set the order of
 #: the prefixes and so the number of candidates; the result is the same in any order.
 ORDERED_BY, COMMON = 5_000, 8
+#: Texts that are compared with one text in one piece of work; a text with more partners is sent to several.
+TOGETHER = 200
 
 
-def shingles(words: list[bytes], width: int) -> set[bytes]:
-    """The different shingles; of fewer words the whole sequence, of none nothing."""
-    if len(words) < width:
-        return {b" ".join(words)} if words else set()
-    return {b" ".join(x) for x in zip(*(words[i:] for i in range(width)), strict=False)}
-
-
-def shingle_hashes(data: bytes) -> np.ndarray:
-    """The sorted 64-bit hashes of a text's different five-word shingles, as signed longs."""
-    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(x) for x in shingles(data.lower().split(), 5)), np.uint64)).view(np.int64)
+def shingle_hashes(data: bytes, width: int = WIDTH) -> np.ndarray:
+    """The sorted 64-bit hashes of a text's different shingles, as signed longs; of fewer words the whole sequence is one."""
+    words = data.lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    size = min(width, len(w))
+    n = len(w) - size + 1
+    out = np.full(n, size, np.uint64)
+    for i in range(size):
+        out = mix(out + w[i : i + n])
+    return np.unique(out).view(np.int64)
+
+
+def print_of(hashes: np.ndarray, step: int = 1 << 16) -> int:
+    """The SimHash of a set of shingle hashes, as a signed long."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), step):
+        ones += np.unpackbits(hashes[at : at + step].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "little", signed=True)
 
 
 def node_of(hashes: np.ndarray) -> int:
@@ -203,34 +223,86 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["hash", "n"])
 
     every = max(1, texts.count() // ORDERED_BY)
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text")
+    some = texts.where(F.pmod("th", F.lit(every)) == 0).select("text")
     found = map_batches(some, counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).toArrow()
     hashes, counts = found.column("hash").to_numpy(), found.column("n").to_numpy()
     order = np.argsort(hashes)
     return hashes[order], counts[order]
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(node, set): each text's node and the hashes of its shingles."""
+def sketches(texts: DataFrame, similarity: float) -> DataFrame:
+    """(did, th, node, fp, size, keys) of each row; keys, the prefix, only where a task meets a set of shingles for the first time."""
+    sent = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            at = 0
+            for part in texts_in(batch.column("text")):
+                nodes, prints, sizes, keys = [], [], [], []
+                for x in part:
+                    found = shingle_hashes(x)
+                    node = node_of(found)
+                    nodes.append(node)
+                    prints.append(print_of(found))
+                    sizes.append(len(found))
+                    keys.append(None if node in seen else prefix(found, *sent.value, similarity))
+                    seen.add(node)
+                own = [batch.column(c).slice(at, len(part)) for c in ("did", "th")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["did", "th", "node", "fp", "size", "keys"])
+                at += len(part)
+
+    return map_batches(texts, drawn, "did long, th long, node long, fp long, size int, keys array<long>")
+
+
+def stored_texts(texts: DataFrame) -> DataFrame:
+    """(node, text): each text once by its node."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in texts_in(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(shingle_hashes(x)) for x in part], pa.int64()), pa.array(part, pa.binary())], ["node", "text"])
+
+    return map_batches(texts.select("text"), named, "node long, text binary").dropDuplicates(["node"])
+
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def compared(similarity: float):
+    """Reads rows (b, salt, a, text) in this order, b's own text first with a null; yields the pairs that are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, own = None, None
         for batch in batches:
+            at = 0
             for part in texts_in(batch.column("text")):
-                found = [shingle_hashes(x) for x in part]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["node", "set"])
+                b, salt, a = (batch.column(c).slice(at, len(part)).to_pylist() for c in ("b", "salt", "a"))
+                at += len(part)
+                links = []
+                for text, *where, other in zip(part, b, salt, a, strict=True):
+                    found = shingle_hashes(text)
+                    if other is None:
+                        group, own = where, found
+                    elif where == group:
+                        common = len(np.intersect1d(own, found, assume_unique=True))
+                        if common and common >= similarity * (len(own) + len(found) - common) - 1e-9:
+                            links.append((other, where[0]))
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
 
-    return map_batches(docs.select("text"), hashed, "node long, set array<long>")
+    return run
 
 
-def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of nodes that have that share of common shingles. sets: (node, set).
+def alike(pairs: DataFrame, store: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose texts, both in store (node, text), are similar enough.
 
-    The larger node's set is joined first: of it there are few pairs, while the
-    rows that meet at a hub are large enough for the engine to split them.
+    One text of each pair travels to the other; a text with many partners is sent to
+    one place for every TOGETHER of them.
     """
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
+    fan = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(TOGETHER)).cast("int").alias("k"))
+    salted = pairs.join(fan, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("k")).cast("int").alias("salt"))
+    guests = salted.join(store.withColumnRenamed("node", "a"), "a").select("b", "salt", "a", "text")
+    hosts = fan.join(store.withColumnRenamed("node", "b"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"), F.lit(None).cast("long").alias("a"), "text")
+    both = guests.unionByName(hosts).repartition("b", "salt").sortWithinPartitions("b", "salt", F.asc_nulls_first("a"))
+    return map_batches(both, compared(similarity), "a long, b long")
 
 
 def crowded(rows: DataFrame) -> DataFrame:
@@ -250,7 +322,7 @@ def may_be_alike(na: Column, ia: Column, nb: Column, ib: Column, similarity: flo
 def some_partners(met: DataFrame, similarity: float) -> DataFrame:
     """(a, b): for each text at most two of those it meets under another label, over all its buckets; a > b.
 
-    A first guess that joins large groups cheaply; nothing rests on what it leaves out.
+    A guess that joins large groups cheaply; nothing rests on what it leaves out.
     """
     w = Window.partitionBy("key").orderBy("label", "rep")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -273,21 +345,31 @@ def all_partners(met: DataFrame, similarity: float) -> DataFrame:
     return x.join(y, "key").where((F.col("la") != F.col("lb")) & (F.col("a") > F.col("b")) & may).select("a", "b").distinct()
 
 
-def linked_copies(met: DataFrame, verified: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+def printed_partners(nodes: DataFrame, radius: int) -> DataFrame:
+    """(a, b), a > b: for each text at most two whose fingerprint is equal or meets its own in a ball. nodes: (node, fp)."""
+    prints = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
+    equal = nodes.join(prints, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    met = ball_links(prints, radius).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    some = met.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
+    return equal.unionByName(some.select("a", F.explode(F.array("low", "high")).alias("b"))).distinct()
+
+
+def linked_copies(met: DataFrame, first: DataFrame, verified: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """(node, component) as components gives them, from (key, rep, size, at, label), labels being reps: every two texts that share a key are verified or already connected.
 
-    ROUNDS rounds try a few partners of each text and give connected texts one
-    label; the last tries all pairs that are left under different labels.
+    The pairs of first are verified, then a few partners of each text, and connected
+    texts get one label each time; last come all pairs that are left under different
+    labels.
     """
     tried, links = [], []
-    for k in range(ROUNDS + 1):
-        pairs = some_partners(met, similarity) if k < ROUNDS else all_partners(met, similarity)
+    for propose in (lambda: first, lambda: some_partners(met, similarity), lambda: all_partners(met, similarity)):
+        pairs = propose()
         for x in tried:
             pairs = pairs.join(x, ["a", "b"], "left_anti")
         tried.append(cut(pairs))
         links.append(cut(verified(tried[-1])))
         roots = components(reduce(DataFrame.unionByName, links))
-        if k < ROUNDS:
+        if len(tried) < 3:
             met = met.drop("label").join(roots, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
             met = cut(crowded(met))
             if met.isEmpty():
@@ -295,32 +377,29 @@ def linked_copies(met: DataFrame, verified: Callable[[DataFrame], DataFrame], si
     return roots
 
 
+def near_copy_rows(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """(did, th, component, stays) for each row: its id (see id_of), a hash of its text, its group's smallest id, and whether it is the row that stays for its group.
+
+    That row has the smallest id, of several texts under it the smallest hash; rows
+    equal in both stay or go together.
+    """
+    texts = docs.select(id_of("doc_id").alias("did"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text")).select("did", "th", "text")
+    rows = cut(sketches(texts, similarity))
+    nodes = cut(rows.groupBy("node").agg(F.min("did").alias("did"), F.min("fp").alias("fp")))
+    dealt = rows.where("keys IS NOT NULL").select(F.col("node").alias("rep"), "size", F.posexplode("keys").alias("at", "key"))
+    met = cut(crowded(dealt.withColumn("label", F.col("rep"))).dropDuplicates(["key", "rep"]))
+    inside = met.select(F.col("rep").alias("node")).distinct()
+    ids = few(nodes.join(inside, "node", "left_semi").select("did").distinct())
+    store = cut(stored_texts(texts.join(ids, "did", "left_semi")))
+    roots = linked_copies(met, printed_partners(nodes, radius), lambda pairs: alike(pairs, store, similarity), similarity)
+    found = rows.select("did", "th", "node").join(roots, "node", "left").select("did", "th", F.coalesce("component", "node").alias("root"))
+    first = found.groupBy("root").agg(F.min(F.struct("did", "th")).alias("first"))
+    return found.join(first, "root").select("did", "th", F.col("first.did").alias("component"), (F.struct("did", "th") == F.col("first")).alias("stays"))
+
+
 def near_copies(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) for each row: groups linked by texts that share 0.8 or more of their five-word shingles.
 
     Texts without words are one group; repeated rows as in simhash_groups.
     """
-    texts = docs.select(id_of("doc_id").alias("did"), F.col(text).alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(texts))
-
-    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, at = batch.column("did"), 0
-            for part in texts_in(batch.column("text")):
-                found = [shingle_hashes(x) for x in part]
-                keys = [prefix(x, *sent.value, similarity) for x in found]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), pa.array([node_of(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["did", "node", "size", "keys"])
-                at += len(part)
-
-    rows = cut(map_batches(texts, drawn, "did long, node long, size int, keys array<long>"))
-    nodes = cut(rows.groupBy("node").agg(F.min("did").alias("did"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    least = nodes.select("node", "did")
-    dealt = nodes.select(F.col("node").alias("rep"), "size", F.posexplode("keys").alias("at", "key"))
-    met = cut(crowded(dealt.withColumn("label", F.col("rep"))))
-    ids = least.join(met.select(F.col("rep").alias("node")).distinct(), "node", "left_semi").select("did").distinct()
-    sets = cut(shingle_sets(texts.join(ids, "did", "left_semi")))
-    roots = linked_copies(met, lambda pairs: alike(pairs, sets, similarity), similarity)
-    group = least.join(roots, "node", "left").withColumn("root", F.coalesce("component", "node")).select("node", "root", "did")
-    first = group.groupBy("root").agg(F.min("did").alias("component_id"))
-    out = rows.select("did", "node").join(group.select("node", "root").join(first, "root"), "node")
-    return out.select(null_id_back("did").alias("doc_id"), null_id_back("component_id").alias("component_id"))
+    return near_copy_rows(docs, text, similarity).select(null_id_back("did").alias("doc_id"), null_id_back("component").alias("component_id"))
