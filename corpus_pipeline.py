@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from skyloom.llm.decontaminate import add_overlaps
 from skyloom.llm.lines import drop_repeated_lines
 from skyloom.llm.mixing import mix
-from skyloom.llm.runtime import ensure_checkpoint_dir, id_of
-from skyloom.llm.simhash import near_copies
+from skyloom.llm.runtime import ensure_checkpoint_dir, few, id_of, remove_folder
+from skyloom.llm.simhash import near_copy_rows
 from skyloom.llm.toxicity import toxicity_score, train
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -36,10 +36,14 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each SimHash group (five-word shingles, similarity 0.8 or more); of rows with one id, all or none."""
-    groups = near_copies(docs.select("doc_id", "text"))
-    kept = groups.where("doc_id <=> component_id").select(id_of("doc_id").alias("__id")).distinct()
-    return docs.withColumn("__id", id_of("doc_id")).join(kept, "__id", "left_semi").select(*COLUMNS)
+    """Keeps one document of each group of near copies (SimHash proposals first, five-word shingles, similarity 0.8 or more).
+
+    The smallest id stays, whose row is known by its id and text: rows equal in both
+    stay together, and a null id counts as the largest.
+    """
+    gone = near_copy_rows(docs.select("doc_id", "text")).where("NOT stays").select(F.col("did").alias("__id"), F.col("th").alias("__th")).distinct()
+    marked = docs.withColumns({"__id": id_of("doc_id"), "__th": F.xxhash64(F.coalesce("text", F.lit("")))})
+    return marked.join(few(gone), ["__id", "__th"], "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,10 +69,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written as Parquet in the shared folder and read again."""
+    """All stages over documents; each is written as Parquet in the shared folder and read again. A stage's folder goes when the next is written."""
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}_{name}")
         docs = spark.read.parquet(f"{folder}/{i}_{name}")
+        if i:
+            remove_folder(spark, f"{folder}/{i - 1}_{STAGES[i - 1][0]}")
     return docs
