@@ -21,16 +21,23 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.runtime import BLANKS, cut, id_of
+from skyloom.llm.runtime import BLANKS, cut, ensure_checkpoint_dir, id_of, remove_folder
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHORTEST = 10
+#: A line is hot from one in HOT of the lines whose hash falls in one of PART parts; this decides how it is joined, not what comes out.
+HOT, PART = 500, 64
 
 
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def text_hash(text: Column) -> Column:
+    """With the id, tells texts apart; repeated rows are equal in both."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def line_key(line: Column, shortest: int) -> Column:
     """Two hashes (128 bits) of the trimmed, lower-cased line; null below the shortest length."""
     trimmed = F.btrim(line, F.lit(BLANKS))
@@ -40,18 +47,29 @@ def line_key(line: Column, shortest: int) -> Column:
 
 
 class LineStore:
-    """Runs of line hashes; add() takes batches in order of arrival and gives each hash its first owner."""
+    """Runs of line hashes; add() takes batches in order of arrival and gives each hash its first owner.
+
+    Runs are files in the shared checkpoint folder. The catalog only lends them a
+    name while the store lives, since Spark keeps buckets and order with a name.
+    """
 
     def __init__(self, spark: SparkSession, fanout: int = 3):
         self.spark, self.fanout = spark, fanout
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.folder = f"{ensure_checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
         self.levels: list[list[str]] = []
 
     def write(self, rows: DataFrame) -> str:
         name = f"skyloom_run_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "h1", "h2").sortWithinPartitions("h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").saveAsTable(name)
+        rows = rows.repartition(self.buckets, "h1", "h2").sortWithinPartitions("h1", "h2")
+        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
 
+    def remove(self, names: list[str]) -> None:
+        for x in names:
+            self.spark.sql(f"DROP TABLE {x}")
+            remove_folder(self.spark, f"{self.folder}/{x}")
+
     def put(self, name: str, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
@@ -59,8 +77,7 @@ class LineStore:
         if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
             self.put(self.write(self.union(old)), level + 1)
-            for x in old:
-                self.spark.sql(f"DROP TABLE {x}")
+            self.remove(old)
 
     def union(self, names: list[str]) -> DataFrame:
         out = self.spark.table(names[0])
@@ -83,15 +100,36 @@ class LineStore:
         return self.union(self.runs) if self.runs else None
 
     def drop(self) -> None:
-        for x in self.runs:
-            self.spark.sql(f"DROP TABLE {x}")
+        self.remove(self.runs)
+        remove_folder(self.spark, self.folder)
         self.levels = []
 
 
+def hot_hashes(hashes: DataFrame) -> DataFrame:
+    """(h1, h2) of lines that are over one in HOT of a fixed part of all; so there are fewer than HOT of them."""
+    part = cut(hashes.where(F.pmod(F.xxhash64("did", "h1"), F.lit(PART)) == 0).groupBy("h1", "h2").agg(F.count("*").alias("n")))
+    total = part.agg(F.sum("n")).first()[0] or 0
+    return part.where(F.col("n") * HOT > total).select("h1", "h2")
+
+
+def losses(hashes: DataFrame, owners: DataFrame) -> DataFrame:
+    """(did, th, pos) of the lines that an earlier document owns.
+
+    The occurrences of hot lines, which one task could not take, meet their owners
+    by broadcast; all others by merge.
+    """
+    hot = cut(hot_hashes(hashes))
+    known = cut(owners.join(F.broadcast(hot), ["h1", "h2"], "left_semi"))
+    often = hashes.join(F.broadcast(known), ["h1", "h2"])
+    rest = hashes.join(F.broadcast(hot), ["h1", "h2"], "left_anti").join(owners, ["h1", "h2"])
+    return often.unionByName(rest).where("did > owner").select("did", "th", "pos")
+
+
 def repeated_lines(docs: DataFrame, text: str = "text", shortest: int = SHORTEST, batches: int = 4) -> DataFrame:
-    """(did, drops): for each document that loses lines, the hashes of these lines."""
+    """(did, th, drops): for each text (id and hash) that loses lines, the places of these lines from 0."""
     spark = docs.sparkSession
-    hashes = cut(docs.select(id_of("doc_id").alias("did"), F.explode(F.transform(lines_of(F.col(text)), lambda x: line_key(x, shortest))).alias("k")).where("k IS NOT NULL").select("did", "k.h1", "k.h2"))
+    lines = docs.select(id_of("doc_id").alias("did"), text_hash(F.col(text)).alias("th"), F.posexplode(F.transform(lines_of(F.col(text)), lambda x: line_key(x, shortest))).alias("pos", "k"))
+    hashes = cut(lines.where("k IS NOT NULL").select("did", "th", "pos", "k.h1", "k.h2"))
     ends = hashes.agg(F.percentile_approx("did", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     ends = sorted(set(ends))
     store = LineStore(spark)
@@ -99,8 +137,7 @@ def repeated_lines(docs: DataFrame, text: str = "text", shortest: int = SHORTEST
         for low, high in zip([None, *ends], [*ends, None], strict=True):
             part = hashes if low is None else hashes.where(F.col("did") > low)
             store.add(part if high is None else part.where(F.col("did") <= high))
-        found = hashes.join(store.owners(), ["h1", "h2"]).where("did > owner")
-        return cut(found.groupBy("did").agg(F.collect_set(F.struct("h1", "h2")).alias("drops")))
+        return cut(losses(hashes, store.owners()).groupBy("did", "th").agg(F.collect_list("pos").alias("drops")))
     finally:
         store.drop()
 
@@ -112,10 +149,11 @@ def drop_repeated_lines(docs: DataFrame, text: str = "text", shortest: int = SHO
     at least ``shortest`` code points that several documents hold stay only in
     the smallest id's.
     """
-    drops = repeated_lines(docs, text, shortest, batches).withColumnRenamed("did", "__did").withColumnRenamed("drops", "__drops")
-    out = docs.withColumn("__id", id_of("doc_id")).join(drops, F.col("__id") == F.col("__did"), "left")
+    drops = repeated_lines(docs, text, shortest, batches).select(F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("drops").alias("__drops"))
+    out = docs.withColumns({"__id": id_of("doc_id"), "__hash": text_hash(F.col(text))}).join(drops, (F.col("__id") == F.col("__did")) & (F.col("__hash") == F.col("__th")), "left")
     out = out.withColumn("__lines", lines_of(F.col(text)))
-    stays = F.filter("__lines", lambda x: ~F.coalesce(F.array_contains("__drops", line_key(x, shortest)), F.lit(False)))
-    out = out.withColumn("__kept", F.when(F.col("__drops").isNull(), F.col("__lines")).otherwise(stays))
+    # The places that stay, by one pass over both lists, and their lines.
+    stays = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__drops")
+    out = out.withColumn("__kept", F.when(F.col("__drops").isNull(), F.col("__lines")).otherwise(F.transform(stays, lambda i: F.get("__lines", i))))
     out = out.withColumns({"n_lines": F.size("__lines").cast("long"), "n_dropped": (F.size("__lines") - F.size("__kept")).cast("long"), text: F.when(F.col("__drops").isNull(), F.col(text)).otherwise(F.array_join("__kept", "\n"))})
-    return out.drop("__id", "__did", "__drops", "__lines", "__kept")
+    return out.drop("__id", "__hash", "__did", "__th", "__drops", "__lines", "__kept")
