@@ -12,7 +12,9 @@ Targets: sources by code point (null last) weigh 5, 2, 1, repeating, and share
 the others by weight.
 
 Defined results: null text has no words. Rows with equal ids share a hash and
-are taken or left together; a null id counts as the largest.
+are taken or left together; a null id counts as the largest. Only the columns
+that mix adds are replaced; any other column of docs stays as it is. The table
+of sources, one row each, is sorted in one task, which can spill.
 """
 
 from __future__ import annotations
@@ -55,8 +57,8 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, scale: float = SCALE, mo
 
 
 def joined(docs: DataFrame, by_source: DataFrame, few: bool, how: str = "inner") -> DataFrame:
-    right = by_source.withColumnRenamed("source", "__source")
-    return docs.join(F.broadcast(right) if few else right, F.col("source").eqNullSafe(F.col("__source")), how).drop("__source")
+    right = by_source.withColumnRenamed("source", "__mix_source")
+    return docs.join(F.broadcast(right) if few else right, F.col("source").eqNullSafe(F.col("__mix_source")), how).drop("__mix_source")
 
 
 def thresholds(rows: DataFrame, budgets: DataFrame, few: bool) -> DataFrame:
@@ -101,16 +103,18 @@ def mix(docs: DataFrame, text: str = "text", weights: tuple = WEIGHTS, scale: fl
     Each source's taken words come as near to its target as whole documents
     allow at one end of the hash order. Same input, same result.
     """
-    clash = [c for c in ("size", "source_size", "target", "copies", "taken", "h") if c in docs.columns]
-    sized = docs.drop(*clash).withColumns({"size": word_count(F.col(text)), "h": F.xxhash64(id_of("doc_id")).bitwiseAND(F.lit((1 << 63) - 1))})
-    rows = cut(sized.select("source", "size", "h"))
+    clash = [c for c in ("size", "source_size", "target", "copies", "taken") if c in docs.columns]
+    # Columns of our own are named apart from any that docs may have.
+    spot = F.xxhash64(id_of("doc_id")).bitwiseAND(F.lit((1 << 63) - 1))
+    sized = docs.drop(*clash).withColumns({"size": word_count(F.col(text)), "__mix_h": spot})
+    rows = cut(sized.select("source", "size", F.col("__mix_h").alias("h")))
     goal = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, scale, most))
     few = goal.limit(FEW + 1).count() <= FEW
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(most)))).otherwise(F.lit(0))
-    goal = goal.withColumn("whole", whole.cast("int"))
-    part = goal.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")).where("budget > 0")
-    limits = thresholds(rows, part.select("source", "budget"), few).withColumn("part", F.lit(True)).withColumnRenamed("source", "__s")
+    goal = goal.withColumn("__mix_whole", whole.cast("int"))
+    part = goal.withColumn("budget", F.col("target") - F.col("__mix_whole") * F.col("source_size")).where("budget > 0")
+    limits = thresholds(rows, part.select("source", "budget"), few).select(F.col("source").alias("__s"), F.col("threshold").alias("__mix_limit"), F.lit(True).alias("__mix_part"))
     goal = cut(goal.join(limits, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s"))
     out = joined(sized, goal, few)
-    extra = F.when(F.col("part").isNull(), 0).when(F.col("threshold").isNull() | (F.col("h") < F.col("threshold")), 1).otherwise(0)
-    return out.withColumn("copies", (F.col("whole") + extra).cast("int")).withColumn("taken", F.col("size") * F.col("copies")).drop("h", "whole", "part", "threshold")
+    extra = F.when(F.col("__mix_part").isNull(), 0).when(F.col("__mix_limit").isNull() | (F.col("__mix_h") < F.col("__mix_limit")), 1).otherwise(0)
+    return out.withColumn("copies", (F.col("__mix_whole") + extra).cast("int")).withColumn("taken", F.col("size") * F.col("copies")).drop("__mix_h", "__mix_whole", "__mix_part", "__mix_limit")
