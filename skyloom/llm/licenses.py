@@ -12,15 +12,17 @@ Null text counts as empty: no words, no labels, score 0.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.runtime import as_bytes
+from skyloom.llm.runtime import texts_in
 
 #: Lower-cases A-Z and turns every ASCII character but letters and digits to a blank.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -76,34 +78,38 @@ class NoticeFinder:
         return found
 
     def near(self, text: bytes) -> list[tuple[Notice, int, int, int]]:
-        """(notice, first byte, end, errors) of the verified places, none twice."""
+        """(notice, first byte, end, errors) of the verified places, none twice; of places that overlap the one with fewest errors.
+
+        Each candidate window is searched by itself and is about as long as its
+        notice, so the work grows with the number of seeds found.
+        """
         found = []
         for notice, parts, pattern in self.fuzzy:
-            size, windows = len(notice.words), []
+            size, slack, windows = len(notice.words), notice.errors + 1, set()
             for part, offset in parts:
                 at = text.find(part)
                 while at >= 0:
-                    windows.append((max(0, at - offset - notice.errors - 1), at - offset + size + notice.errors + 1))
+                    windows.add(at - offset)
                     at = text.find(part, at + 1)
-            windows.sort()
-            end = 0
-            for i, (a, b) in enumerate(windows):
-                if i and a < end:  # one window reaches into the next: search them as one
-                    continue
-                for c, d in windows[i + 1 :]:
-                    if c >= b:
-                        break
-                    b = max(b, d)
-                end = b
-                for m in pattern.finditer(text, a, b + 1):
-                    found.append((notice, m.start(), m.end(), sum(m.fuzzy_counts)))
+            places = set()
+            for at in windows:
+                m = pattern.search(text, max(0, at - slack), at + size + slack + 1)
+                if m:
+                    places.add((sum(m.fuzzy_counts), m.start(), m.end()))
+            taken: list[tuple[int, int]] = []  # apart from each other, in order
+            for errors, a, b in sorted(places):
+                i = bisect(taken, (a, b))
+                if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or b <= taken[i][0]):
+                    taken.insert(i, (a, b))
+                    found.append((notice, a, b, errors))
         return found
 
     def scan(self, data: bytes) -> dict:
         words = data.translate(FOLD).split()
         text = b" " + b" ".join(words) + b" "
         exact, near = self.exact(text), self.near(text)
-        word_at = lambda byte: text.count(b" ", 0, byte) - 1
+        blanks = np.flatnonzero(np.frombuffer(text, np.uint8) == 32) if exact or near else np.zeros(0, np.int64)
+        word_at = lambda byte: int(np.searchsorted(blanks, byte)) - 1
         starts = [word_at(a) for _, a, _ in exact]
         base = {n.label for n, _, _ in exact}
         spans = [(n.label, w, word_at(e - 1), 0) for (n, _, e), w in zip(exact, starts, strict=True)]
@@ -128,7 +134,7 @@ def license_scan(text: Column | str, base: Sequence[Notice] = BASE, fuzzy: Seque
     def scanned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         finder = NoticeFinder(base, fuzzy)
         for column in batches:
-            yield pa.array([finder.scan(x) for x in as_bytes(column)], ARROW)
+            yield pa.array([finder.scan(x) for part in texts_in(column) for x in part], ARROW)
 
     return scanned(text)
 
