@@ -5,7 +5,7 @@ sample ties to toxic texts, with their log odds), how near its hits stand to
 second-person words, capitals, punctuation, and signs of obfuscation. A
 histogram GBT with logistic loss is trained on the driver, on the features of a
 bounded sample of labelled rows, and its raw scores are calibrated by isotonic
-regression on rows that the trees did not see.
+regression on rows that neither lexicon nor trees have seen.
 
 Every text is scored whole and by itself; null counts as empty. Without both
 labels in the sample every score is the share of label 1 (0 without labels).
@@ -25,12 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm.licenses import FOLD
-from skyloom.llm.runtime import as_bytes, crc_bucket, map_batches, texts_in
+from skyloom.llm.runtime import crc_bucket, cut, map_batches, texts_in
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 20_000
 #: Entries of the lexicon, at most.
 LEXICON = 4_000
+#: Folds of the sample that lexicon and trees learn from; the other one calibrates.
+TAUGHT = (1, 2, 3)
 
 #: Second-person words of the four languages.
 SECOND_PERSON = frozenset(x.encode() for x in "you your yours yourself u ur du dich dir dein deine deiner ihr euch euer tu toi te ton ta tes vous votre vos tú ti usted ustedes vosotros os tus".split())
@@ -163,25 +165,42 @@ class Model:
         return np.clip(np.interp(self.trees.raw(x), *self.curve), 0.0, 1.0)
 
 
-def lexicon_of(sample: DataFrame) -> dict[bytes, float]:
-    """Log odds of the words and word beginnings that mark label 1; each different text counts once."""
+def lexicons_of(sample: DataFrame) -> list[dict[bytes, float]]:
+    """Log odds of the words and word beginnings that mark label 1, from the rows of folds 1 to 3; each different text counts once.
+
+    The first lexicon is learnt from all three folds, the others each without one:
+    so a row's features can come from a lexicon that has not seen its label.
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: tuple[Counter, Counter] = (Counter(), Counter())
-            for data, label in zip(as_bytes(batch.column("text")), batch.column("label").to_pylist(), strict=True):
-                seen[label].update({e for w in set(data.translate(FOLD).split()) for e in entries(w)})
-            keys = list(seen[1])  # what no toxic text of this batch has is added below
-            rest = [k for k in seen[0] if k not in seen[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(keys + rest, pa.binary()), pa.array([seen[1][k] for k in keys] + [0] * len(rest), pa.int64()), pa.array([seen[0][k] for k in keys] + [seen[0][k] for k in rest], pa.int64())], ["entry", "bad", "good"])
-
-    single = sample.groupBy(F.xxhash64("text").alias("t"), "label").agg(F.first("text").alias("text")).select("text", "label")
-    sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.countDistinct(F.xxhash64("text")).alias("n")).collect()}
-    bad, good = max(sizes.get(1, 0), 1), max(sizes.get(0, 0), 1)
-    table = map_batches(single, counted, "entry binary, bad long, good long").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-    rows = table.where(F.col("bad") >= 4).withColumn("odds", odds).where("odds >= 2.5").orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "entry").limit(LEXICON).collect()
-    return {bytes(r["entry"]): float(r["odds"]) for r in rows}
+            seen: dict[tuple[int, int], Counter] = {(label, fold): Counter() for label in (0, 1) for fold in TAUGHT}
+            labels, folds, at = batch.column("label").to_pylist(), batch.column("fold").to_pylist(), 0
+            for part in texts_in(batch.column("text")):
+                for data in part:
+                    seen[labels[at], folds[at]].update({e for w in set(data.translate(FOLD).split()) for e in entries(w)})
+                    at += 1
+            keys = list(set().union(*seen.values()))
+            sums = [pa.array([seen[x][k] for k in keys], pa.int64()) for x in seen]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *sums], ["entry", *(f"{'gb'[label]}{fold}" for label, fold in seen)])
+
+    taught = sample.where(F.col("fold").isin(*TAUGHT))
+    single = taught.groupBy(F.xxhash64("text").alias("t"), "label", "fold").agg(F.first("text").alias("text")).select("text", "label", "fold")
+    sizes = {(r["label"], r["fold"]): r["n"] for r in taught.groupBy("label", "fold").agg(F.countDistinct(F.xxhash64("text")).alias("n")).collect()}
+    names = [f"{k}{fold}" for k in "gb" for fold in TAUGHT]
+    table = map_batches(single, counted, "entry binary, " + ", ".join(f"{n} long" for n in names)).groupBy("entry").agg(*(F.sum(n).alias(n) for n in names))
+    worth = []
+    for left in (0, *TAUGHT):
+        bad, good = (sum(F.col(f"{k}{fold}") for fold in TAUGHT if fold != left) for k in "bg")
+        n_bad, n_good = (max(sum(sizes.get((label, fold), 0) for fold in TAUGHT if fold != left), 1) for label in (1, 0))
+        odds = F.log((bad + 0.5) / (n_bad + 1)) - F.log((good + 0.5) / (n_good + 1))
+        worth.append(F.when((bad >= 4) & (odds >= 2.5), F.struct((odds * F.sqrt(bad)).alias("rank"), odds.alias("odds"))).alias(f"w{left}"))
+    table = cut(table.select("entry", *worth))
+    out = []
+    for left in (0, *TAUGHT):
+        best = table.where(F.col(f"w{left}").isNotNull()).orderBy(F.desc(f"w{left}.rank"), "entry").limit(LEXICON).select("entry", f"w{left}.odds").collect()
+        out.append({bytes(r["entry"]): float(r["odds"]) for r in best})
+    return out
 
 
 def labelled(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
@@ -198,26 +217,34 @@ def labelled(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFra
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
-    """Fits lexicon, trees and calibration on a bounded sample of labelled rows."""
-    sample = labelled(docs, labels, limit)
-    lexicon = lexicon_of(sample)
+    """Fits lexicon, trees and calibration on a bounded sample of labelled rows.
+
+    Texts fall into four folds by their hash. Folds 1 to 3 teach the lexicon and the
+    trees, each row measured by a lexicon learnt from the other two; fold 0, of which
+    neither has seen anything, calibrates.
+    """
+    sample = cut(labelled(docs, labels, limit).withColumn("h", F.xxhash64("text")).withColumn("fold", F.pmod("h", F.lit(4)).cast("int")))
+    lexicons = lexicons_of(sample)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t, lexicon) for part in texts_in(batch.column("text")) for t in part]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("label"), batch.column("fold")], ["x", "label", "fold"])
-
-    rows = map_batches(sample.withColumn("fold", F.xxhash64("text")), measured, "x array<double>, label int, fold long").collect()
-    rows.sort(key=lambda r: (r["fold"], r["label"]))  # the same model whatever order the tasks end in
+            folds, at, rows = batch.column("fold").to_pylist(), 0, []
+            for part in texts_in(batch.column("text")):
+                rows += [features(t, lexicons[k]) for t, k in zip(part, folds[at : at + len(part)], strict=True)]
+                at += len(part)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("label"), batch.column("fold"), batch.column("h")], ["x", "label", "fold", "h"])
+
+    rows = map_batches(sample, measured, "x array<double>, label int, fold int, h long").collect()
+    rows.sort(key=lambda r: (r["h"], r["label"]))  # the same model whatever order the tasks end in
     y = np.array([r["label"] for r in rows], float)
     if len(y) == 0 or y.min() == y.max():
-        return Model(lexicon, None, (np.zeros(1), np.zeros(1)), float(y.mean()) if len(y) else 0.0)
-    x, held = np.array([r["x"] for r in rows]), np.array([r["fold"] % 4 == 0 for r in rows])
-    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
+        return Model(lexicons[0], None, (np.zeros(1), np.zeros(1)), float(y.mean()) if len(y) else 0.0)
+    x, held = np.array([r["x"] for r in rows]), np.array([r["fold"] == 0 for r in rows])
+    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:  # too few rows to keep a fold apart
         held = np.zeros(len(y), bool)
     trees = Trees().fit(x[~held], y[~held])
     test = held if held.any() else ~held
-    return Model(lexicon, trees, isotonic(trees.raw(x[test]), y[test]), float(y.mean()))
+    return Model(lexicons[0], trees, isotonic(trees.raw(x[test]), y[test]), float(y.mean()))
 
 
 def toxicity_score(text: Column | str, model: Model) -> Column:
