@@ -14,9 +14,10 @@ enough to connect what is connected, and never writes all pairs.
 near_copies links by similarity. SimHash fingerprints of five-word shingles that
 meet in a ball propose first, and what they connect is settled. At a similarity
 of 0.8 fingerprints of 64 bits differ in ten bits on average, beyond any ball that
-can be written out, so the rest is proposed without loss: two texts that share
-0.8 of their shingles share one of the rarest fifth of each. The share of common
-shingles, counted in full, decides on every pair.
+can be written out, so the rest is proposed in another way: two texts that share
+0.8 of their shingles share one of the rarest fifth of each. Long fingerprints of
+256 bits, read as estimates of the angle, then pass over pairs that are far apart
+(see FAR), and the share of common shingles, counted in full, decides on the rest.
 
 Defined results: null or wordless text has fingerprint zero, linked like any
 other; a null id ranks after every other id; rows with equal ids keep their own
@@ -76,10 +77,10 @@ def fingerprints(docs: DataFrame, text: str, width: int) -> DataFrame:
     return map_batches(docs.select(id_of("doc_id").alias("did"), F.col(text).alias("text")), printed, "did long, fp long")
 
 
-def ball(fp: Column) -> Column:
-    """All variants under the three masks that differ in at most one visible bit."""
+def ball(fp: Column, radius: int = RADIUS) -> Column:
+    """All variants that differ in at most one bit; for radius 3, of the bits that each of the three masks leaves."""
     flips = []
-    for hidden in HIDDEN:
+    for hidden in HIDDEN if radius > 2 else (0,):
         # The lowest hidden bit tells the masks apart; a chance collision costs one verification.
         mark = hidden & -hidden
         flips += [(~hidden, mark | flip) for flip in (0, *(1 << b for b in range(64) if not hidden >> b & 1))]
@@ -145,7 +146,7 @@ def bucket_links(radius: int):
 
 def ball_links(nodes: DataFrame, radius: int) -> DataFrame:
     """(a, b) between representatives of fingerprints that meet in a ball; nodes: (fp, rep), each fingerprint once."""
-    shuffled = nodes.select(F.explode(ball(F.col("fp"))).alias("key"), "fp", "rep").repartition("key").sortWithinPartitions("key")
+    shuffled = nodes.select(F.explode(ball(F.col("fp"), radius)).alias("key"), "fp", "rep").repartition("key").sortWithinPartitions("key")
     return map_batches(shuffled, bucket_links(radius), "a long, b long")
 
 
@@ -169,6 +170,13 @@ WIDTH = 5
 ORDERED_BY, COMMON = 5_000, 8
 #: Texts that are compared with one text in one piece of work; a text with more partners is sent to several.
 TOGETHER = 200
+#: Rows of a bucket of which all pairs are written at once; larger buckets go through rounds that join groups first.
+LARGE = 64
+#: Longs of a long fingerprint. Of two texts with at least LEAST shingles each those pairs are passed over whose
+#: fingerprints differ in more bits than pairs at the similarity asked for do, by FAR deviations: at 0.8 they differ in 39
+#: on average, with a deviation of 5.7, and over 67 pass for far. So a pair at 0.8 is passed over with a chance of less
+#: than one in a million, one above it with less; pairs under 0.3 nearly all are.
+LONGS, FAR, LEAST = 4, 5, 64
 
 
 def shingle_hashes(data: bytes, width: int = WIDTH) -> np.ndarray:
@@ -185,12 +193,14 @@ def shingle_hashes(data: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(out).view(np.int64)
 
 
-def print_of(hashes: np.ndarray, step: int = 1 << 16) -> int:
-    """The SimHash of a set of shingle hashes, as a signed long."""
-    ones = np.zeros(64, np.int64)
+def print_of(hashes: np.ndarray, step: int = 1 << 14) -> list[int]:
+    """The SimHash of a set of shingle hashes, in LONGS signed longs of which the first is the short fingerprint."""
+    ones = np.zeros(64 * LONGS, np.int64)
+    salts = np.arange(LONGS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for at in range(0, len(hashes), step):
-        ones += np.unpackbits(hashes[at : at + step].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "little", signed=True)
+        spread = mix(hashes[at : at + step].view(np.uint64)[:, None] + salts)
+        ones += np.unpackbits(spread.view(np.uint8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes)).view(np.int64).tolist()
 
 
 def node_of(hashes: np.ndarray) -> int:
@@ -230,40 +240,109 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], counts[order]
 
 
-def sketches(texts: DataFrame, similarity: float) -> DataFrame:
-    """(did, th, node, fp, size, keys) of each row; keys, the prefix, only where a task meets a set of shingles for the first time."""
+PRINTS = [f"f{i}" for i in range(LONGS)]
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """(did, th, node, size, f0 ...) of each row: its set of shingles, their number and the long fingerprint."""
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for part in texts_in(batch.column("text")):
+                found = [shingle_hashes(x) for x in part]
+                prints = zip(*(print_of(x) for x in found), strict=True)
+                own = [batch.column(c).slice(at, len(part)) for c in ("did", "th")]
+                at += len(part)
+                yield pa.RecordBatch.from_arrays([*own, pa.array([node_of(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), *(pa.array(x, pa.int64()) for x in prints)], ["did", "th", "node", "size", *PRINTS])
+
+    return map_batches(texts, drawn, "did long, th long, node long, size long, " + ", ".join(f"{c} long" for c in PRINTS))
+
+
+def dealt_keys(texts: DataFrame, similarity: float) -> DataFrame:
+    """(key, rep, size, at) of the prefix of each different set of shingles, at being the place in its order; a task writes a set once."""
     sent = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            at = 0
             for part in texts_in(batch.column("text")):
-                nodes, prints, sizes, keys = [], [], [], []
+                rows = []
                 for x in part:
                     found = shingle_hashes(x)
-                    node = node_of(found)
-                    nodes.append(node)
-                    prints.append(print_of(found))
-                    sizes.append(len(found))
-                    keys.append(None if node in seen else prefix(found, *sent.value, similarity))
-                    seen.add(node)
-                own = [batch.column(c).slice(at, len(part)) for c in ("did", "th")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["did", "th", "node", "fp", "size", "keys"])
-                at += len(part)
+                    if (node := node_of(found)) not in seen:
+                        seen.add(node)
+                        keys = prefix(found, *sent.value, similarity)
+                        rows.append((keys, np.full(len(keys), node), np.full(len(keys), len(found), np.int32), np.arange(len(keys), dtype=np.int32)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], ["key", "rep", "size", "at"])
+
+    return map_batches(texts.select("text"), drawn, "key long, rep long, size int, at int")
+
+
+def alike_bound(similarity: float):
+    """may_be_alike() for arrays."""
+    share = similarity / (1 + similarity)
+    return lambda na, ia, nb, ib: np.minimum(ia, ib) + 1 + np.minimum(na - ia - 1, nb - ib - 1) >= share * (na + nb) - 1e-6
+
+
+def bucket_pairs(similarity: float, large: int):
+    """Reads rows (key, rep, size, at) sorted by key; yields pairs a > b (b not null) of buckets of up to large rows, and the rows of larger ones (a is the rep, b null)."""
+    may = alike_bound(similarity)
+
+    def pairs(key: np.ndarray, rep: np.ndarray, size: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(key)))
+        big = np.repeat(sizes > large, sizes)
+        found = []
+        small = np.flatnonzero(~big)
+        k, r, n, i = key[small], rep[small], size[small].astype(np.int64), at[small].astype(np.int64)
+        for gap in range(1, min(large, int(sizes.max()))):
+            x = np.flatnonzero((k[gap:] == k[:-gap]) & (r[gap:] != r[:-gap]))
+            if len(x):
+                y = x + gap
+                x, y = (z[may(n[x], i[x], n[y], i[y])] for z in (x, y))
+                found.append(np.stack([np.maximum(r[x], r[y]), np.minimum(r[x], r[y])], 1))
+        if found and len(rows := np.unique(np.concatenate(found), axis=0)):
+            none = pa.nulls(len(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), none, none.cast(pa.int32()), none.cast(pa.int32())], ["a", "b", "key", "size", "at"])
+        rest = np.flatnonzero(big)
+        if len(rest):
+            yield pa.RecordBatch.from_arrays([pa.array(rep[rest]), pa.nulls(len(rest), pa.int64()), pa.array(key[rest]), pa.array(size[rest]), pa.array(at[rest])], ["a", "b", "key", "size", "at"])
 
-    return map_batches(texts, drawn, "did long, th long, node long, fp long, size int, keys array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        rows = 0
+        for batch in batches:
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "rep", "size", "at")]
+            held.append(now)
+            rows += batch.num_rows
+            if rows >= 200_000 and held[0][0][0] != now[0][-1]:
+                whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+                end = int(np.searchsorted(whole[0], whole[0][-1], "left"))  # the last bucket may go on
+                yield from pairs(*(c[:end] for c in whole))
+                held, rows = [[c[end:].copy() for c in whole]], len(whole[0]) - end
+        if rows:
+            yield from pairs(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return run
 
 
-def stored_texts(texts: DataFrame) -> DataFrame:
-    """(node, text): each text once by its node."""
+def stored_texts(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the nodes, whose first rows are known by did and th. A task gives a text once."""
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            at = 0
             for part in texts_in(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(shingle_hashes(x)) for x in part], pa.int64()), pa.array(part, pa.binary())], ["node", "text"])
+                node = batch.column("node").slice(at, len(part)).to_pylist()
+                at += len(part)
+                fresh = [i for i, n in enumerate(node) if n not in seen and not seen.add(n)]
+                yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in fresh], pa.int64()), pa.array([part[i] for i in fresh], pa.binary())], ["node", "text"])
 
-    return map_batches(texts.select("text"), named, "node long, text binary").dropDuplicates(["node"])
+    met = texts.join(few(nodes.select("did", "th", "node")), ["did", "th"]).select("node", "text")
+    return map_batches(met, named, "node long, text binary")
 
 
 def compared(similarity: float):
@@ -345,56 +424,90 @@ def all_partners(met: DataFrame, similarity: float) -> DataFrame:
     return x.join(y, "key").where((F.col("la") != F.col("lb")) & (F.col("a") > F.col("b")) & may).select("a", "b").distinct()
 
 
+def two_partners(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b), a > b, those of each a with its least and its greatest b."""
+    some = pairs.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
+    return some.select("a", F.explode(F.array("low", "high")).alias("b")).distinct()
+
+
 def printed_partners(nodes: DataFrame, radius: int) -> DataFrame:
-    """(a, b), a > b: for each text at most two whose fingerprint is equal or meets its own in a ball. nodes: (node, fp)."""
-    prints = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
-    equal = nodes.join(prints, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    """(a, b), a > b: for each text at most two whose short fingerprint is equal or meets its own in a ball. nodes: (node, f0)."""
+    prints = nodes.groupBy(F.col("f0").alias("fp")).agg(F.min("node").alias("rep"))
+    equal = nodes.join(prints, F.col("f0") == F.col("fp")).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     met = ball_links(prints, radius).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    some = met.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
-    return equal.unionByName(some.select("a", F.explode(F.array("low", "high")).alias("b"))).distinct()
+    return equal.unionByName(two_partners(met)).distinct()
+
+
+def most_apart(similarity: float) -> float:
+    """Bits in which long fingerprints of texts of that similarity differ, at most: sets of one size are farthest apart."""
+    bits = 64 * LONGS
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return bits * p + FAR * math.sqrt(bits * p * (1 - p))
+
+
+def not_far(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose long fingerprints leave that similarity possible; nodes: (node, size, f0 ...)."""
+    for side in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("size").alias(f"n{side}"), *(F.col(c).alias(f"{c}{side}") for c in PRINTS)), side)
+    apart = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in PRINTS), F.lit(0))
+    return pairs.where((F.least("na", "nb") < LEAST) | (apart <= F.lit(most_apart(similarity)))).select("a", "b")
+
+
+def labelled(rows: DataFrame, roots: DataFrame, name: str, label: str) -> DataFrame:
+    """rows with the component of the node in a column."""
+    return rows.join(roots.withColumnRenamed("node", "__node"), F.col(name) == F.col("__node"), "left").withColumn(label, F.coalesce("component", name)).drop("__node", "component")
 
 
-def linked_copies(met: DataFrame, first: DataFrame, verified: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """(node, component) as components gives them, from (key, rep, size, at, label), labels being reps: every two texts that share a key are verified or already connected.
+def linked_copies(pairs: DataFrame, crowd: DataFrame, first: DataFrame, nodes: DataFrame, verified: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """(node, component) as components gives them: every one of the pairs, and every two texts that share a key in crowd (key, rep, size, at), is verified or already connected, unless its fingerprints are far apart.
 
-    The pairs of first are verified, then a few partners of each text, and connected
-    texts get one label each time; last come all pairs that are left under different
-    labels.
+    First come the pairs of first and two partners of each text, then once more two
+    of each text in crowd, and last all that are left between different components.
     """
-    tried, links = [], []
-    for propose in (lambda: first, lambda: some_partners(met, similarity), lambda: all_partners(met, similarity)):
-        pairs = propose()
+    roots, tried, links = None, [], []
+    for last in (False, False, True):
+        met = crowd.withColumn("label", F.col("rep")) if roots is None else labelled(crowd, roots, "rep", "label")
+        met = cut(crowded(met))
+        if met.isEmpty() and roots is not None and not last:
+            continue
+        found = all_partners(met, similarity) if last else some_partners(met, similarity)
+        found = cut(not_far(found, nodes, similarity))
+        if roots is None:
+            found = found.unionByName(two_partners(pairs)).unionByName(first)
+        elif last:
+            apart = labelled(labelled(pairs, roots, "a", "la"), roots, "b", "lb").where("la <> lb")
+            found = found.unionByName(apart.select("a", "b"))
+        found = found.distinct()
         for x in tried:
-            pairs = pairs.join(x, ["a", "b"], "left_anti")
-        tried.append(cut(pairs))
+            found = found.join(x, ["a", "b"], "left_anti")
+        tried.append(cut(found))
         links.append(cut(verified(tried[-1])))
         roots = components(reduce(DataFrame.unionByName, links))
-        if len(tried) < 3:
-            met = met.drop("label").join(roots, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
-            met = cut(crowded(met))
-            if met.isEmpty():
-                break
     return roots
 
 
-def near_copy_rows(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def near_copy_rows(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, radius: int = 2) -> DataFrame:
     """(did, th, component, stays) for each row: its id (see id_of), a hash of its text, its group's smallest id, and whether it is the row that stays for its group.
 
     That row has the smallest id, of several texts under it the smallest hash; rows
     equal in both stay or go together.
     """
     texts = docs.select(id_of("doc_id").alias("did"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text")).select("did", "th", "text")
-    rows = cut(sketches(texts, similarity))
-    nodes = cut(rows.groupBy("node").agg(F.min("did").alias("did"), F.min("fp").alias("fp")))
-    dealt = rows.where("keys IS NOT NULL").select(F.col("node").alias("rep"), "size", F.posexplode("keys").alias("at", "key"))
-    met = cut(crowded(dealt.withColumn("label", F.col("rep"))).dropDuplicates(["key", "rep"]))
-    inside = met.select(F.col("rep").alias("node")).distinct()
-    ids = few(nodes.join(inside, "node", "left_semi").select("did").distinct())
-    store = cut(stored_texts(texts.join(ids, "did", "left_semi")))
-    roots = linked_copies(met, printed_partners(nodes, radius), lambda pairs: alike(pairs, store, similarity), similarity)
+    rows = cut(sketches(texts))
+    nodes = cut(rows.groupBy("node").agg(F.min(F.struct("did", "th")).alias("row"), *(F.min(c).alias(c) for c in ("size", *PRINTS))).select("node", "row.did", "row.th", "size", *PRINTS))
+    dealt = dealt_keys(texts, similarity).repartition("key").sortWithinPartitions("key", "rep")
+    met = cut(map_batches(dealt, bucket_pairs(similarity, LARGE), "a long, b long, key long, size int, at int"))
+    pairs = cut(not_far(met.where("b IS NOT NULL").select("a", "b").distinct(), nodes, similarity))
+    crowd = met.where("b IS NULL").select("key", F.col("a").alias("rep"), "size", "at").dropDuplicates(["key", "rep"])
+
+    def verified(found: DataFrame) -> DataFrame:
+        needed = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        return alike(found, cut(stored_texts(texts, nodes.join(needed, "node", "left_semi"))), similarity)
+
+    roots = linked_copies(pairs, crowd, printed_partners(nodes, radius), nodes, verified, similarity)
     found = rows.select("did", "th", "node").join(roots, "node", "left").select("did", "th", F.coalesce("component", "node").alias("root"))
-    first = found.groupBy("root").agg(F.min(F.struct("did", "th")).alias("first"))
-    return found.join(first, "root").select("did", "th", F.col("first.did").alias("component"), (F.struct("did", "th") == F.col("first")).alias("stays"))
+    least = found.groupBy("root").agg(F.min(F.struct("did", "th")).alias("first"))
+    return found.join(least, "root").select("did", "th", F.col("first.did").alias("component"), (F.struct("did", "th") == F.col("first")).alias("stays"))
 
 
 def near_copies(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
