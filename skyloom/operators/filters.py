@@ -74,6 +74,69 @@ def _shown(fill: float):
     return lambda v, a: F.when(a, v).otherwise(F.lit(fill))
 
 
+def quality_pairs(variables: list[str], attributes: DataFrame) -> dict[str, str]:
+    """Variable -> the variable with its flags, by a table (variable, attribute, value).
+
+    X is paired with Xq (else XQ) whose COMPONENT_0 is X; COMPONENT_1 names the flags.
+    """
+    rows = attributes.where(F.col("attribute").isin("COMPONENT_0", "COMPONENT_1")).select("variable", "attribute", F.trim("value").alias("value")).collect()
+    found = {(r["variable"], r["attribute"]): r["value"] for r in rows}
+    out = {}
+    for v in variables:
+        for q in (f"{v}q", f"{v}Q"):
+            if q in variables:  # the first of the two names that exists decides
+                if found.get((q, "COMPONENT_0")) == v and found.get((q, "COMPONENT_1")) in variables:
+                    out[v] = found[q, "COMPONENT_1"]
+                break
+    return out
+
+
+def quality_checked(df: DataFrame, attributes: DataFrame, fills: dict[str, float], good=0) -> DataFrame:
+    """df with the fill value wherever a variable's paired flag is not good."""
+    pairs = quality_pairs(df.columns, attributes)
+    return df.withColumns({v: flagged(F.col(v), F.col(flag), fills[v], good) for v, flag in pairs.items() if v in fills})
+
+
+def compared(a: Column, b: Column, operator: str, kind: str = "REAL8") -> Column:
+    """EQ, NE, LT, LE, GT or GE of two values of a type.
+
+    Equality goes by the bytes, so -0.0 is not 0.0; EPOCH16 (structs sec, psec) is
+    ordered by seconds, then picoseconds; order with NaN is false.
+    """
+    if kind == "EPOCH16":
+        less = (a["sec"] < b["sec"]) | ((a["sec"] == b["sec"]) & (a["psec"] < b["psec"]))
+        same = (a["sec"] == b["sec"]) & (a["psec"] == b["psec"])
+        real = F.lit(True)
+    elif kind in ("REAL4", "REAL8", "FLOAT", "DOUBLE", "EPOCH"):
+        sign = lambda x: F.when(x == 0, x.cast("string") == "-0.0").otherwise(F.lit(False))
+        same = (a == b) & (sign(a) == sign(b))
+        real = ~F.isnan(a) & ~F.isnan(b)
+        less = a < b
+        if operator in ("LE", "GE"):
+            same = a == b
+    else:
+        less, same, real = a < b, a == b, F.lit(True)
+    tests = {"EQ": same, "NE": ~same, "LT": real & less, "LE": real & (less | same), "GT": real & ~less & ~(a == b if kind != "EPOCH16" else same), "GE": real & ~less}
+    return tests[operator]
+
+
+def monotonic_range(attributes: dict, low, high) -> bool:
+    """Whether a MONOTON attribute allows records to be cut at the first and last value in [low, high] (see monotonic_prune)."""
+    return str(attributes.get("MONOTON", "")).strip().upper() in ("INCREASE", "DECREASE") and (low is not None or high is not None)
+
+
+def monotonic_prune(blocks: DataFrame, scalar: str, low, high) -> DataFrame:
+    """The blocks (with columns {scalar}_first and {scalar}_last, the values at both ends) of a monotonic scalar that can hold values in [low, high]."""
+    first, last = F.col(f"{scalar}_first"), F.col(f"{scalar}_last")
+    least, most = F.least(first, last), F.greatest(first, last)
+    test = F.lit(True)
+    if low is not None:
+        test = test & (most >= low)
+    if high is not None:
+        test = test & (least <= high)
+    return blocks.where(test)
+
+
 def flagged(value: Column, flag: Column, fill: float, good=0) -> Column:
     """A value where its quality flag is good, else fill."""
     return F.when(flag == good, value).otherwise(F.lit(fill))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -11,18 +12,29 @@ from skyloom.functions.values import differs, type_class
 
 
 def append_records(parts: list[DataFrame], rec: str) -> DataFrame:
-    """Records of same-named variables one after another; each part starts where the one before ended."""
-    out, base = [], 0
-    for part in parts:
+    """Records of same-named variables one after another; each part starts where the one before ended, an empty one takes no place."""
+    out, base = parts[:1], 0
+    # One aggregate over all parts finds where each begins.
+    ends = reduce(DataFrame.unionByName, (p.select(F.lit(i).alias("part"), F.col(rec).cast("long").alias("last")) for i, p in enumerate(parts))).groupBy("part").agg(F.max("last").alias("last")).collect()
+    last = {r["part"]: r["last"] for r in ends}
+    for i, part in enumerate(parts[1:], 1):
+        base += 0 if last.get(i - 1) is None else last[i - 1] + 1
         out.append(part.withColumn(rec, F.col(rec) + base))
-        base += (part.agg(F.max(rec)).first()[0] or -1) + 1
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
 
 
+def prefixed_name(name: str, prefix: str | None, index: int) -> str:
+    """prefix_name, or file{index}_name; a name that is fileK_rest already becomes file{index + K - 1}_rest."""
+    if prefix is not None:
+        return f"{prefix}_{name}"
+    if m := re.match(r"file(\d+)_(.*)", name, re.S):
+        return f"file{index + int(m[1]) - 1}_{m[2]}"
+    return f"file{index}_{name}"
+
+
 def prefixed(parts: list[DataFrame], rec: str, prefixes: list[str] | None = None) -> DataFrame:
-    """Variables of all parts side by side, named prefix_name (file1_, file2_, ... where none is given)."""
-    prefixes = prefixes or [f"file{i + 1}" for i in range(len(parts))]
-    named = [p.select(rec, *(F.col(c).alias(f"{x}_{c}") for c in p.columns if c != rec)) for p, x in zip(parts, prefixes, strict=True)]
+    """Variables of all parts side by side, named by prefixed_name()."""
+    named = [p.select(rec, *(F.col(c).alias(prefixed_name(c, prefixes[i] if prefixes else None, i + 1)) for c in p.columns if c != rec)) for i, p in enumerate(parts)]
     return reduce(lambda a, b: a.join(b, rec, "full"), named)
 
 
@@ -53,7 +65,7 @@ def override_attributes(base: DataFrame, master: DataFrame, keys: list[str], val
 
 def rename_pointers(attributes: DataFrame, value: str, names: list[str], prefix: str) -> DataFrame:
     """Variable names inside attribute text, prefixed."""
-    pattern = r"(?<![\w])(" + "|".join(sorted(names, key=len, reverse=True)) + r")(?![\w])"
+    pattern = r"(?<![\w])(" + "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True)) + r")(?![\w])"
     return attributes.withColumn(value, F.regexp_replace(value, pattern, f"{prefix}_$1"))
 
 
@@ -66,13 +78,24 @@ def match_names(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
 
 
 def compare_values(left: DataFrame, right: DataFrame, keys: list[str], variables: dict[str, float]) -> DataFrame:
-    """(variable, n_compared, n_values, n_records): values and records that differ, by variable and tolerance."""
+    """(variable, n_compared, n_values, n_records): values and records that differ, by variable and tolerance; keys are the record, and the index where it has several values."""
     r = right.select(*(F.col(k).alias(f"__{k}") for k in keys), *(F.col(v).alias(f"__{v}") for v in variables))
     on = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"__{k}") for k in keys))
     both = left.join(r, on, "full")
     cells = F.array(*(F.struct(F.lit(v).alias("variable"), F.coalesce(differs(F.col(v).cast("double"), F.col(f"__{v}").cast("double"), t), F.lit(True)).alias("differs")) for v, t in variables.items()))
-    long = both.select(F.explode(cells).alias("x")).select("x.*")
-    return long.groupBy("variable").agg(F.count("*").alias("n_compared"), F.count_if("differs").alias("n_values"))
+    # The first key is the record: its differing values are counted first, so that each record counts once.
+    long = both.select(F.coalesce(keys[0], f"__{keys[0]}").alias("rec"), F.explode(cells).alias("x")).select("rec", "x.*")
+    by_record = long.groupBy("variable", "rec").agg(F.count("*").alias("n"), F.count_if("differs").alias("d"))
+    return by_record.groupBy("variable").agg(F.sum("n").alias("n_compared"), F.sum("d").alias("n_values"), F.count_if(F.col("d") > 0).alias("n_records"))
+
+
+def master_attributes(text: str) -> list[tuple[str, int, str]]:
+    """(attribute, entry, value) of a master text: lines of name, an entry number and { value }, or name = value; # and ! begin remarks."""
+    out = []
+    for line in text.splitlines():
+        if m := re.match(r'\s*"?([^"#!={]+?)"?\s*(?:(\d+)\s*:?\s*(?:\w+\s*)?\{\s*"?(.*?)"?\s*\}|=\s*"?(.*?)"?)\s*\.?\s*$', line):
+            out.append((m[1].strip(), int(m[2] or 1), m[3] if m[3] is not None else m[4]))
+    return out
 
 
 def compare_schemas(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -45,6 +45,26 @@ def time_name(columns: list[str]) -> str:
     raise ValueError("no variable is named epoch")
 
 
+def epoch_groups(columns: list[str], depends: dict[str, str]) -> list[str]:
+    """Columns by groups: each epoch first, then the variables that depend on it in their order; what depends on none comes last."""
+    epochs = list(dict.fromkeys(e for c in columns if (e := depends.get(c)) in columns))
+    out = [x for e in epochs for x in (e, *(c for c in columns if depends.get(c) == e and c not in epochs))]
+    return [*out, *(c for c in columns if c not in out)]
+
+
+def chosen_variables(columns: list[str], include: list[str] | None = None, exclude: list[str] | None = None, always: tuple[str, ...] = ("file", "rec")) -> list[str]:
+    """Columns to keep: those included (all, if none are named) that are not excluded; a name that is missing is an error."""
+    for n in (*(include or ()), *(exclude or ())):
+        if n not in columns:
+            raise KeyError(f"no variable named {n}")
+    return [c for c in columns if c in always or ((include is None or c in include) and c not in (exclude or ()))]
+
+
+def listed_names(text: str) -> list[str]:
+    """Names of a list as text: apart by commas or line ends, quoted or not."""
+    return [n.strip().strip("\"'") for line in text.splitlines() for n in line.split(",") if n.strip()]
+
+
 def time_series(df: DataFrame, sizes: dict[str, int] | None = None, flatten: bool = True) -> DataFrame:
     """Epoch first, then all variables; 1-D ones (sizes by name) spread over columns unless flatten is off."""
     t = time_name(df.columns)
