@@ -1,0 +1 @@
+"""Structured Streaming over files and their records."""
