@@ -150,8 +150,8 @@ def tt2000_encode(events):
 
 @query("events", "SELECT event_id, ts AS t, false AS leap FROM events")
 def tt2000_decode(events):
-    tt = T.tt2000_of(F.col("ts"))
-    return events.select("event_id", T.tt2000_to_timestamp(tt).alias("t"), T.in_leap_second(tt).alias("leap"))
+    tt = events.select("event_id", T.tt2000_of(F.col("ts")).alias("tt"))
+    return tt.select("event_id", T.tt2000_to_timestamp(F.col("tt")).alias("t"), T.in_leap_second(F.col("tt")).alias("leap"))
 
 
 @query("events", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.' || lpad((epoch_us(ts) % 1000000)::VARCHAR, 6, '0') || '000' AS s3, strftime(ts, '%Y%m%d%H%M%S') AS s2 FROM events")
@@ -297,7 +297,7 @@ def tolerance_compare(lineitem):
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     one = lineitem.groupBy(*keys).agg(F.min(F.struct("l_quantity", "l_extendedprice", "l_shipdate", "l_tax")).alias("x")).select(*keys, "x.l_quantity", "x.l_tax")
     other = one.withColumns({"l_quantity": F.col("l_quantity") + F.when(F.col("l_partkey") % 10 == 0, 1.0).otherwise(0.0), "l_tax": F.col("l_tax") * F.when(F.col("l_suppkey") % 3 == 0, 1.1).otherwise(1.0)})
-    return M.compare_values(one, other, keys, {"l_quantity": 0.5, "l_tax": -0.01})
+    return M.compare_values(one, other, keys, {"l_quantity": 0.5, "l_tax": -0.01}).drop("n_records")
 
 
 @query("customer orders", "SELECT coalesce(a, b) AS key, CASE WHEN b IS NULL THEN 'first' WHEN a IS NULL THEN 'second' ELSE 'both' END AS found FROM (SELECT DISTINCT c_custkey AS a FROM customer) x FULL JOIN (SELECT DISTINCT o_custkey AS b FROM orders) y ON a = b")
@@ -388,10 +388,13 @@ def vertical_layout(lineitem):
 @query("events", "SELECT event_type, v.attribute, v.value FROM (SELECT event_type, min(value) AS a, max(value) AS b FROM events GROUP BY event_type), LATERAL (VALUES ('VALIDMIN', a), ('VALIDMAX', b), ('SCALEMIN', a), ('SCALEMAX', b)) v(attribute, value)")
 def attribute_updates(events):
     kinds = S.value_stats(events, "value", ["event_type"])
-    pairs = F.array(*(F.struct(F.lit(a).alias("attribute"), F.col(c).alias("value")) for a, c in (("VALIDMIN", "min_value"), ("VALIDMAX", "max_value"), ("SCALEMIN", "min_value"), ("SCALEMAX", "max_value"))))
-    return kinds.select("event_type", F.explode(pairs).alias("x")).select("event_type", "x.*")
+    updates = S.attribute_updates(kinds, F.col("event_type"))
+    return updates.select(F.col("variable").alias("event_type"), "attribute", F.col("value").cast("double").alias("value"))
 
 
 @query("events", "SELECT ts AS Epoch, event_id, user_id, value FROM events")
 def time_series(events):
     return Mt.time_series(events.select("event_id", F.col("ts").alias("EPOCH"), "user_id", "value"))
+
+
+from skyloom.plans import codes, files  # noqa: E402, F401  registers their queries
