@@ -28,30 +28,58 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.runtime import as_bytes, crc_bucket, cut, id_of, map_batches, null_id_back
+from skyloom.llm.runtime import crc_bucket, cut, id_of, map_batches, null_id_back, texts_in
 
-#: Words whose counts every worker holds, at most.
-HEAD = 200_000
-HIDDEN, CLASSES, SLOTS = 24, 32, 32
-WINDOW, STREAMS = 24, 64
+#: Words whose counts every worker holds, at most, and the bytes of such a word, at most; a longer one is counted by the join like any rare word.
+HEAD, LONGEST = 200_000, 64
+#: Steps of the histogram of counts for each doubling.
+STEPS = 64
+#: Size of the state, and words that the network tells apart, at most; classes and the words in each are about the square root of it.
+HIDDEN, FREQUENT = 16, 2048
+#: Tokens of a window, and streams side by side, at most; fewer where that leaves under UPDATES windows.
+WINDOW, STREAMS, UPDATES = 24, 512, 64
 #: Each round trains on the training documents whose id hash falls in its one of so many parts; as many rounds as parts take all.
-ROUNDS = PARTS = 16
+ROUNDS = PARTS = 4
+#: Texts that are held as Python objects at a time.
+SIDE = 1000
+#: Sums before the softmax above this count as this, so that no exponential overflows.
+HIGHEST = 60.0
 END = b""  # no word is empty
 NAMES = ("x", "u", "uc", "wc", "bc", "wo", "bo")
 
 
-def shapes(hidden: int = HIDDEN, classes: int = CLASSES, slots: int = SLOTS) -> dict[str, tuple[int, ...]]:
+def grid_of(frequent: int) -> tuple[int, int]:
+    """(classes, slots) for that many words."""
+    slots = max(1, math.isqrt(max(frequent, 1) - 1) + 1)
+    return max(1, -(-frequent // slots)), slots
+
+
+def shapes(classes: int, slots: int, hidden: int = HIDDEN) -> dict[str, tuple[int, ...]]:
     return {"x": (classes * slots + 1, 3 * hidden), "u": (hidden, 2 * hidden), "uc": (hidden, hidden), "wc": (hidden, classes + 1), "bc": (classes + 1,), "wo": (classes, hidden, slots), "bo": (classes, slots)}
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
+
+
+def summed(rows: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the rows of each id from 0 to n - 1."""
+    order = np.argsort(ids, kind="stable")
+    found, starts = np.unique(ids[order], return_index=True)
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    out[found] = np.add.reduceat(rows[order], starts, axis=0)
+    return out
 
 
 class Network:
@@ -65,12 +93,13 @@ class Network:
 
     @classmethod
     def fresh(cls, counts: np.ndarray, rare: float) -> Network:
-        """Small random weights from a fixed seed, and biases that give the words' frequencies."""
+        """Small random weights from a fixed seed, and biases that give the words' frequencies; counts: of the frequent words."""
         rng = np.random.default_rng(7)
-        p = {k: (rng.standard_normal(s) * 0.08).astype(np.float32) for k, s in shapes().items()}
-        full = np.full(CLASSES * SLOTS, 1e-6)
+        classes, slots = grid_of(len(counts))
+        p = {k: (rng.standard_normal(s) * 0.08).astype(np.float32) for k, s in shapes(classes, slots).items()}
+        full = np.full(classes * slots, 1e-6)
         full[: len(counts)] = counts
-        grid = full.reshape(CLASSES, SLOTS)
+        grid = full.reshape(classes, slots)
         p["bc"] = np.log(np.append(grid.sum(1), max(rare, 0.1))).astype(np.float32)
         p["bc"] -= p["bc"].max()
         p["bo"] = (np.log(grid) - np.log(grid.sum(1, keepdims=True))).astype(np.float32)
@@ -79,44 +108,64 @@ class Network:
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in NAMES])
 
-    @classmethod
-    def of(cls, flat: np.ndarray) -> Network:
+    def like(self, flat: np.ndarray) -> Network:
+        """A network of the same shape with other parameters."""
         out, at = {}, 0
-        for k, s in shapes().items():
+        for k in NAMES:
+            s = self.p[k].shape
             out[k] = flat[at : at + math.prod(s)].reshape(s).astype(np.float32)
             at += math.prod(s)
-        return cls(out)
+        return Network(out)
 
     def step(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-        n, a = self.hidden, self.p["x"].take(ids, axis=0)
-        zr = sigmoid(a[:, : 2 * n] + h @ self.p["u"])
+        return self.gated(h, self.p["x"].take(ids, axis=0))
+
+    def gated(self, h: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The next state, both gates, the gated state and the candidate; a: the input's part of the sums."""
+        n = self.hidden
+        zr = h @ self.p["u"]
+        zr += a[:, : 2 * n]
+        sigmoid(zr)
         z, r = zr[:, :n], zr[:, n:]
         rh = r * h
-        c = np.tanh(a[:, 2 * n :] + rh @ self.p["uc"])
-        return h + z * (c - h), z, r, rh, c
+        c = rh @ self.p["uc"]
+        c += a[:, 2 * n :]
+        np.tanh(c, out=c)
+        out = c - h
+        out *= z
+        out += h
+        return out, z, r, rh, c
+
+    def grouped(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The class of each id, an order by class, and where each class ends in it."""
+        group = np.where(ids == self.rare, self.classes, ids // self.slots).astype(np.int16 if self.classes < 1 << 15 else np.int64)
+        order = np.argsort(group, kind="stable")
+        return group, order, np.searchsorted(group[order], np.arange(self.classes + 1))
 
     def outputs(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log probability of each token id after state h; for the others' id that of their class."""
+        group, order, ends = self.grouped(ids)
         logits = h @ self.p["wc"]
         logits += self.p["bc"]
-        logits -= logits.max(1, keepdims=True)
-        group = np.where(ids == self.rare, self.classes, ids // self.slots)
+        np.minimum(logits, HIGHEST, out=logits)
         out = logits[np.arange(len(ids)), group].astype(np.float64)
-        out -= np.log(np.exp(logits).sum(1))
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(self.classes + 1))
+        out -= np.log(np.exp(logits, out=logits).sum(1))
+        states, slot = h[order], (ids - group.astype(ids.dtype) * self.slots)[order]
+        inside = np.zeros(len(ids))
         for k in range(self.classes):
-            at = order[ends[k] : ends[k + 1]]
-            if len(at):
-                inner = h[at] @ self.p["wo"][k]
+            a, b = ends[k], ends[k + 1]
+            if b > a:
+                inner = states[a:b] @ self.p["wo"][k]
                 inner += self.p["bo"][k]
-                inner -= inner.max(1, keepdims=True)
-                out[at] += inner[np.arange(len(at)), ids[at] - k * self.slots] - np.log(np.exp(inner).sum(1))
+                np.minimum(inner, HIGHEST, out=inner)
+                inside[a:b] = inner[np.arange(b - a), slot[a:b]]
+                inside[a:b] -= np.log(np.exp(inner, out=inner).sum(1))
+        out[order] += inside
         return out
 
     def train(self, ids: np.ndarray, rate: float = 0.01) -> None:
         """One pass over a token sequence cut into parallel streams; token 0 ends a document and clears the state."""
-        streams = max(1, min(STREAMS, len(ids) // (2 * WINDOW)))
+        streams = max(1, min(STREAMS, len(ids) // (UPDATES * WINDOW)))
         size = (len(ids) - 1) // streams
         if size < 1:
             return
@@ -130,53 +179,68 @@ class Network:
     def window(self, h: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """Forward and truncated backward pass; gradients of the mean negative log probability."""
         p, n = self.p, self.hidden
-        kept = []
-        for ids in x:
-            live = (ids != 0).astype(np.float32)[:, None]
-            before = h * live
-            h, z, r, rh, c = self.step(before, ids)
-            kept.append((before, z, r, rh, c, h, live))
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        states, target = np.concatenate([k[5] for k in kept]), y.ravel()
-        total = len(target)
-        group = np.where(target == self.rare, self.classes, target // self.slots)
-        logits = states @ p["wc"] + p["bc"]
-        logits = np.exp(logits - logits.max(1, keepdims=True))
-        logits /= logits.sum(1, keepdims=True)
-        logits[np.arange(total), group] -= 1
-        logits /= total
-        g["wc"], g["bc"] = states.T @ logits, logits.sum(0)
+        size, streams = x.shape
+        inputs, live = p["x"][x], (x != 0).astype(p["u"].dtype)[:, :, None]
+        whole = live.all(axis=(1, 2))
+        before, states, gated = (np.empty((size, streams, n), p["u"].dtype) for _ in range(3))
+        gates = np.empty((size, streams, 3 * n), p["u"].dtype)  # both gates and the candidate, later their sums' gradients
+        for t in range(size):
+            before[t] = h if whole[t] else h * live[t]
+            h, gates[t, :, :n], gates[t, :, n : 2 * n], gated[t], gates[t, :, 2 * n :] = self.gated(before[t], inputs[t])
+            states[t] = h
+        g, back = self.output_gradients(states.reshape(-1, n), y.ravel())
+        back = back.reshape(size, streams, n)
+        dh = np.zeros_like(h)
+        turned_u, turned_uc = p["u"].T.copy(), p["uc"].T.copy()
+        for t in range(size - 1, -1, -1):
+            z, r, c = (gates[t, :, i * n : (i + 1) * n] for i in range(3))
+            dh += back[t]
+            dc = dh * z
+            dz = dh * (c - before[t])
+            keep = dh * (1 - z)
+            dz *= z * (1 - z)
+            dc *= 1 - c * c
+            drh = dc @ turned_uc
+            keep += drh * r
+            drh *= before[t]
+            drh *= r * (1 - r)
+            gates[t, :, :n], gates[t, :, n : 2 * n], gates[t, :, 2 * n :] = dz, drh, dc
+            keep += gates[t, :, : 2 * n] @ turned_u
+            dh = keep if whole[t] else keep * live[t]
+        rows = gates.reshape(-1, 3 * n)
+        g["u"] = before.reshape(-1, n).T @ rows[:, : 2 * n]
+        g["uc"] = gated.reshape(-1, n).T @ rows[:, 2 * n :]
+        g["x"] = summed(rows, x.ravel(), len(p["x"]))
+        return h, {k: g[k] for k in NAMES}
+
+    def output_gradients(self, states: np.ndarray, target: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Gradients of the two softmax layers, and of the states."""
+        p, total = self.p, len(target)
+        group, order, ends = self.grouped(target)
+        logits = states @ p["wc"]
+        logits += p["bc"]
+        np.minimum(logits, HIGHEST, out=logits)
+        np.exp(logits, out=logits)
+        logits *= (1 / (total * logits.sum(1)))[:, None]
+        logits[np.arange(total), group] -= 1 / total
+        g = {"wc": states.T @ logits, "bc": logits.sum(0), "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
         back = logits @ p["wc"].T
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(self.classes + 1))
+        # By class, so that every class is one slice.
+        sorted_states, slot, inside = states[order], (target - group.astype(target.dtype) * self.slots)[order], np.zeros_like(states)
         for k in range(self.classes):
-            at = order[ends[k] : ends[k + 1]]
-            if len(at):
-                s = states[at]
-                inner = s @ p["wo"][k] + p["bo"][k]
-                inner = np.exp(inner - inner.max(1, keepdims=True))
-                inner /= inner.sum(1, keepdims=True)
-                inner[np.arange(len(at)), target[at] - k * self.slots] -= 1
-                inner /= total
+            a, b = ends[k], ends[k + 1]
+            if b > a:
+                s = sorted_states[a:b]
+                inner = s @ p["wo"][k]
+                inner += p["bo"][k]
+                np.minimum(inner, HIGHEST, out=inner)
+                np.exp(inner, out=inner)
+                inner *= (1 / (total * inner.sum(1)))[:, None]
+                inner[np.arange(b - a), slot[a:b]] -= 1 / total
                 g["wo"][k], g["bo"][k] = s.T @ inner, inner.sum(0)
-                back[at] += inner @ p["wo"][k].T
-        back = back.reshape(len(x), -1, n)
-        dh = np.zeros_like(h)
-        gates = np.empty((*x.shape, 3 * n), np.float32)
-        for t in range(len(x) - 1, -1, -1):
-            before, z, r, rh, c, _, live = kept[t]
-            dh = dh + back[t]
-            dc = dh * z * (1 - c * c)
-            dz = dh * (c - before) * z * (1 - z)
-            drh = dc @ p["uc"].T
-            dr = drh * before * r * (1 - r)
-            dzr = np.concatenate([dz, dr], 1)
-            g["u"] += before.T @ dzr
-            g["uc"] += rh.T @ dc
-            gates[t, :, : 2 * n], gates[t, :, 2 * n :] = dzr, dc
-            dh = (dh * (1 - z) + drh * r + dzr @ p["u"].T) * live
-        np.add.at(g["x"], x.ravel(), gates.reshape(-1, 3 * n))
-        return h, g
+                inside[a:b] = inner @ p["wo"][k].T
+        back[order] += inside
+        return g, back
 
     def adam(self, grads: dict[str, np.ndarray], rate: float) -> None:
         if not hasattr(self, "moments"):
@@ -189,32 +253,40 @@ class Network:
             v += 0.001 * (g * g - v)
             self.p[k] -= fix * m / (np.sqrt(v) + 1e-6)
 
-    def score(self, docs: list[np.ndarray], side: int = 1024, window: int = 32) -> np.ndarray:
-        """Natural log probability of each document's ids (the last one its end), states carried through all windows."""
-        sizes = np.array([len(d) for d in docs])
+    def score(self, docs: list[np.ndarray], tokens: int = 1 << 15) -> np.ndarray:
+        """Natural log probability of each document's ids (the last one its end).
+
+        All documents go side by side, the longest first, in windows of about so many
+        tokens, and carry their states from window to window.
+        """
+        sizes = np.array([len(d) for d in docs], np.int64)
         out = np.zeros(len(docs))
+        if not len(docs):
+            return out
         order = np.argsort(-sizes, kind="stable")
-        for lo in range(0, len(docs), side):
-            who = order[lo : lo + side]
-            size = sizes[who]
-            starts = np.zeros(len(who), np.int64)
-            np.cumsum(size[:-1], out=starts[1:])
-            flat = np.concatenate([docs[i] for i in who])
-            h = np.zeros((len(who), self.hidden), np.float32)
-            last = np.zeros(len(who), np.int64)  # the end token opens a text
-            for at in range(0, int(size[0]), window):
-                states, targets, rows = [], [], []
-                for t in range(at, min(at + window, int(size[0]))):
-                    n = int(np.searchsorted(-size, -t, "left"))  # documents longer than t come first
-                    now = self.step(h[:n], last[:n])[0]
-                    h[:n] = now
-                    ids = flat[starts[:n] + t]
-                    states.append(now)
-                    targets.append(ids)
-                    rows.append(np.arange(n))
-                    last[:n] = ids
-                logs = self.outputs(np.concatenate(states), np.concatenate(targets))
-                out[who] += np.bincount(np.concatenate(rows), logs, len(who))
+        size = sizes[order]
+        starts = np.zeros(len(docs), np.int64)
+        np.cumsum(size[:-1], out=starts[1:])
+        flat = np.concatenate([docs[i] for i in order])
+        alive = np.searchsorted(-size, -np.arange(size[0]), "left")  # documents longer than t come first
+        h = np.zeros((len(docs), self.hidden), np.float32)
+        last = np.zeros(len(docs), flat.dtype)  # the end token opens a text
+        at = 0
+        while at < size[0]:
+            states, targets, rows = [], [], []
+            end = min(at + max(1, tokens // int(alive[at])), int(size[0]))
+            for t in range(at, end):
+                n = int(alive[t])
+                now = self.step(h[:n], last[:n])[0]
+                h = now if n == len(h) else now.copy()  # a document that has ended is not needed again
+                ids = flat[starts[:n] + t]
+                states.append(now)
+                targets.append(ids)
+                rows.append(np.arange(n))
+                last = ids
+            logs = self.outputs(np.concatenate(states), np.concatenate(targets))
+            out[order] += np.bincount(np.concatenate(rows), logs, len(docs))
+            at = end
         return out
 
 
@@ -229,7 +301,7 @@ class Vocabulary:
 
     @property
     def frequent(self) -> int:
-        return min(len(self.counts), CLASSES * SLOTS)
+        return min(len(self.counts), FREQUENT)
 
     @property
     def rare_tokens(self) -> int:
@@ -241,8 +313,7 @@ class Vocabulary:
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         """Ranks of words, -1 beyond the head."""
-        get = self.rank.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.rank.get, words, repeat(-1)), np.int64, len(words))
 
 
 def token_counts(train: DataFrame) -> DataFrame:
@@ -251,22 +322,37 @@ def token_counts(train: DataFrame) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter = Counter()
-            texts = as_bytes(batch.column("text"))
-            for t in texts:
-                found.update(t.lower().split())
-            if texts:
-                found[END] = len(texts)
+            for part in texts_in(batch.column("text"), SIDE):
+                for t in part:
+                    found.update(t.lower().split())
+            if batch.num_rows:
+                found[END] = batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "c"])
 
     return map_batches(train.select("text"), counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def head_of(counts: DataFrame, limit: int) -> Vocabulary:
-    """The end token first, then words by falling count."""
+    """The end token first, then words by falling count, limit of them at most.
+
+    A histogram of the counts' logarithms shows from which step on the words above
+    fit the limit; they alone are fetched. So no task ever holds more than its own
+    part of them, and words of equal count are all in or all out.
+    """
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc(F.col("word") == F.lit(END)), F.desc("c"), "word").limit(limit).toArrow()
-    words = top.column("word").to_pylist()
-    return Vocabulary({w: i for i, w in enumerate(words)}, top.column("c").to_numpy(), total["n"] or 0, total["v"] or 0)
+    end, step = F.col("word") == F.lit(END), F.floor(F.log2("c") * STEPS).cast("int")
+    short = counts.where(~end & (F.octet_length("word") <= LONGEST))
+    sizes = sorted(((r["step"], r["n"]) for r in short.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, room = None, limit - 1
+    for k, n in sizes:
+        room -= n
+        if room < 0:
+            break
+        least = k
+    chosen = counts.where(end) if least is None else counts.where(end | ((F.octet_length("word") <= LONGEST) & (step >= least)))
+    found = chosen.toArrow()
+    rows = sorted(zip(found.column("word").to_pylist(), found.column("c").to_pylist(), strict=True), key=lambda r: (r[0] != END, -r[1], r[0]))
+    return Vocabulary({w: i for i, (w, _) in enumerate(rows)}, np.array([c for _, c in rows], np.int64), total["n"] or 0, total["v"] or 0)
 
 
 def average(rows: DataFrame) -> DataFrame:
@@ -290,27 +376,29 @@ def trained(train: DataFrame, vocab: Vocabulary, rounds: int, parts: int) -> Net
     net = Network.fresh(vocab.counts[: vocab.frequent], vocab.rare_tokens)
     ranks = spark.sparkContext.broadcast({w: i for w, i in vocab.rank.items() if i < vocab.frequent})
     for k in range(rounds):
-        start = spark.sparkContext.broadcast(net.flat())
+        start = spark.sparkContext.broadcast(net)
 
         def learn(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            mine, seen = Network.of(start.value), 0
-            get, rare = ranks.value.get, mine.rare
+            mine, seen = start.value.like(start.value.flat()), 0
+            get, rare = ranks.value.get, repeat(mine.rare)
             for batch in batches:
-                ids = [0]
-                for t in as_bytes(batch.column("text")):
-                    ids += [get(w, rare) for w in t.lower().split()]
-                    ids.append(0)
-                seen += len(ids) - 1
-                mine.train(np.array(ids, np.int64))
+                ids = [np.zeros(1, np.int32)]
+                for part in texts_in(batch.column("text"), SIDE):
+                    words = [w for t in part for w in (*t.lower().split(), END)]
+                    ids.append(np.fromiter(map(get, words, rare), np.int32, len(words)))
+                tokens = np.concatenate(ids)
+                seen += len(tokens) - 1
+                mine.train(tokens)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([mine.flat().tobytes()], pa.binary())], ["n", "net"])
 
-        share = train.where(F.pmod(F.xxhash64("did"), F.lit(parts)) == k).select("text")
+        # By id and text, so that rows which share an id are not one block.
+        share = train.where(F.pmod(F.xxhash64("did", "text"), F.lit(parts)) == k).select("text")
         copies = cut(map_batches(share, learn, "n long, net binary"))
         few = max(1, math.isqrt(copies.rdd.getNumPartitions()))
         rows = average(average(copies.repartition(few)).repartition(1)).collect()
         if rows:
-            net = Network.of(np.frombuffer(rows[0]["net"], np.float32))
+            net = net.like(np.frombuffer(rows[0]["net"], np.float32))
     return net
 
 
@@ -330,28 +418,35 @@ def score_documents(docs: DataFrame, text: str = "text", head: int = HEAD, round
         floor = math.log10(vocab.rare_floor())
         top = vocab.frequent
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            seqs, sizes, known, sums, model, tails = [], [], [], [], [], []
-            for t in texts:
-                words = t.lower().split()
-                words.append(END)
-                ids = vocab.ids(words)
-                inside = ids[ids >= 0]
-                tails.append(Counter(words[i] for i in np.flatnonzero(ids < 0)) if len(inside) < len(ids) else Counter())
-                sizes.append(len(ids))
-                known.append(len(inside))
-                sums.append(float(logs[inside].sum()))
-                # Inside the class of all others: the head's part here, the rest after the join.
-                model.append(float(logs[inside[inside >= top]].sum()) - floor * int(((ids < 0) | (ids >= top)).sum()))
-                seqs.append(np.where((ids < 0) | (ids >= top), net.rare, ids))
-            net_part = net.score(seqs) / math.log(10) if vocab.tokens else np.zeros(len(texts))
-            flat = [x for t in tails for x in t.items()]
-            offsets = np.concatenate([[0], np.cumsum([len(t) for t in tails])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array([w for w, _ in flat], pa.binary()), pa.array([n for _, n in flat], pa.int64())], ["word", "tf"]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("did"), batch.column("held_out"), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(np.array(model) + net_part, pa.float64()), lists],
-                ["did", "held_out", "n_tokens", "n_head", "head_logs", "model", "tail"],
-            )
+            seqs, parts = [], []
+            for texts in texts_in(batch.column("text"), SIDE):
+                sizes, known, sums, model, tails = [], [], [], [], []
+                for t in texts:
+                    words = t.lower().split()
+                    words.append(END)
+                    ids = vocab.ids(words)
+                    inside = ids[ids >= 0]
+                    tails.append(Counter(words[i] for i in np.flatnonzero(ids < 0)) if len(inside) < len(ids) else Counter())
+                    sizes.append(len(ids))
+                    known.append(len(inside))
+                    sums.append(float(logs[inside].sum()))
+                    # Inside the class of all others: the head's part here, the rest after the join.
+                    model.append(float(logs[inside[inside >= top]].sum()) - floor * int(((ids < 0) | (ids >= top)).sum()))
+                    seqs.append(np.where((ids < 0) | (ids >= top), net.rare, ids).astype(np.int32))
+                flat = [x for t in tails for x in t.items()]
+                offsets = np.concatenate([[0], np.cumsum([len(t) for t in tails])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array([w for w, _ in flat], pa.binary()), pa.array([n for _, n in flat], pa.int64())], ["word", "tf"]))
+                parts.append((sizes, known, sums, model, lists))
+            # Only numbers are left of the texts, so the whole batch goes through the network side by side.
+            net_part = net.score(seqs) / math.log(10) if vocab.tokens else np.zeros(len(seqs))
+            at = 0
+            for sizes, known, sums, model, lists in parts:
+                n = len(sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("did").slice(at, n), batch.column("held_out").slice(at, n), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(np.array(model) + net_part[at : at + n], pa.float64()), lists],
+                    ["did", "held_out", "n_tokens", "n_head", "head_logs", "model", "tail"],
+                )
+                at += n
 
     schema = "did long, held_out boolean, n_tokens long, n_head long, head_logs double, model double, tail array<struct<word:binary,tf:long>>"
     parts_ = cut(map_batches(rows, scored, schema).withColumn("row", F.monotonically_increasing_id()))
