@@ -1,9 +1,10 @@
-"""Removal of byte strings that repeat anywhere, by prefix doubling over sampled positions.
+"""Removal of byte strings that repeat anywhere, by ranks of sampled positions.
 
-Ranking every byte position over and over does not fit the limits (nine sorts of
-as many rows as there are bytes), so positions are sampled by content: each
-window of ``length`` bytes belongs to one place in it (see spans.anchors), and
-equal windows to equal places. Ranks then grow as in prefix doubling:
+Prefix doubling ranks every byte position over and over, which does not fit the
+limits (nine sorts of as many rows as there are bytes). Here positions are sampled
+by content: each window of ``length`` bytes belongs to one place in it (see
+spans.anchors), and equal windows to equal places. Only the idea of growing ranks
+is kept, in two fixed levels and a third for the rest:
 
 1. Places are ranked by the ``seed`` bytes at them. What is unique drops out.
 2. The pairs (rank, all bytes of the place's windows) are ranked: this passes the
@@ -14,8 +15,11 @@ equal windows to equal places. Ranks then grow as in prefix doubling:
    for more, the windows' hashes are ranked by a shuffle of their own, so that no
    task holds a common passage's neighbourhoods.
 
-Ranks are 64-bit hashes, which only count as equal together with the seed's.
-Texts move twice, by document, to meet their places and their spans.
+Ranks are 64-bit hashes, which only count as equal together with the seed's; bytes
+are not compared. Texts move twice, by document, to meet their places and their
+spans. A long text is sampled piece by piece, and spans are merged to runs before
+those of a text come together, so that a text that repeats itself at every byte
+has as few of them as any.
 
 Defined results: texts are UTF-8 bytes, null is empty; matches stay inside one
 row; a null id ranks as an id of its own; rows with equal ids and texts are
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.runtime import as_bytes, cut, ensure_checkpoint_dir, id_of, map_batches, null_id_back, offsets_of, remove_folder
+from skyloom.llm.runtime import cut, ensure_checkpoint_dir, id_of, map_batches, null_id_back, offsets_of, remove_folder, texts_in
 from skyloom.llm.spans import Hashes, anchors, mix
 
 LENGTH, SEED, CROWD = 400, 64, 1000
@@ -40,7 +44,11 @@ LENGTH, SEED, CROWD = 400, 64, 1000
 SHIFT = 20
 
 
-def groups(sizes: list[int], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+#: Bytes of text whose positions are hashed at a time, and of a document's part whose spans are merged in one place.
+PIECE, PART = 1 << 20, 1 << 20
+
+
+def groups(sizes: list[int], most: int = PIECE) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about that many bytes together."""
     first = total = 0
     for i, n in enumerate(sizes):
@@ -52,20 +60,35 @@ def groups(sizes: list[int], most: int = 4_000_000) -> Iterator[tuple[int, int]]
         yield first, len(sizes)
 
 
+def sampled(texts: list[bytes], length: int, seed: int, most: int = PIECE) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """anchors() of the texts as (first row, rows): small ones together, long ones in pieces that share length - 1 bytes.
+
+    At the border of two pieces a place's windows are parted, which makes two places
+    of it; their windows are then ranked singly, as at the end of a repeat.
+    """
+    for first, end in groups([len(t) for t in texts], most):
+        long = texts[end - 1] if len(texts[end - 1]) > most else None
+        if end - first > 1 or long is None:
+            yield first, anchors(texts[first : end - 1 if long is not None else end], length, seed)
+        for at in range(0, len(long) - length + 1, most) if long is not None else ():
+            found = anchors([long[at : at + most + length - 1]], length, seed)
+            yield end - 1, found | {k: found[k] + at for k in ("x", "lo", "hi")}
+
+
 def places(rows: DataFrame, length: int, seed: int) -> DataFrame:
     """(did, th, place, seed, block) of each sampled position; distances must fit in half of SHIFT bits."""
 
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            did, th = batch.column("did").to_numpy(), batch.column("th").to_numpy()
-            for a, b in groups([len(t) for t in texts]):
-                f = anchors(texts[a:b], length, seed)
-                who, half = f["row"] + a, SHIFT // 2
-                place = f["lo"] << SHIFT | (f["x"] - f["lo"]) << half | (f["hi"] - f["lo"])
-                yield pa.RecordBatch.from_arrays([pa.array(did[who]), pa.array(th[who]), pa.array(place), pa.array(f["seed"]), pa.array(f["block"])], ["did", "th", "place", "seed", "block"])
+            did, th, start = batch.column("did").to_numpy(), batch.column("th").to_numpy(), 0
+            for texts in texts_in(batch.column("text")):
+                for first, f in sampled(texts, length, seed):
+                    who, half = f["row"] + first + start, SHIFT // 2
+                    place = f["lo"] << SHIFT | (f["x"] - f["lo"]) << half | (f["hi"] - f["lo"])
+                    yield pa.RecordBatch.from_arrays([pa.array(did[who]), pa.array(th[who]), pa.array(place), pa.array(f["seed"]), pa.array(f["block"])], ["did", "th", "place", "seed", "block"])
+                start += len(texts)
 
-    return map_batches(rows, sampled, "did long, th int, place long, seed long, block long")
+    return map_batches(rows, run, "did long, th int, place long, seed long, block long")
 
 
 def unpack(place: int) -> tuple[int, int, int]:
@@ -80,8 +103,8 @@ def neighbourhoods(docs: DataFrame, length: int) -> DataFrame:
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
             out: list[tuple] = []
+            texts = (t for part in texts_in(batch.column("text")) for t in part)
             for did, th, text, wanted in zip(batch.column("did").to_pylist(), batch.column("th").to_pylist(), texts, batch.column("wanted").to_pylist(), strict=True):
                 seen = set()
                 for w in wanted:
@@ -186,11 +209,29 @@ def repeated_spans(rows: DataFrame, length: int, seed: int, crowd: int) -> DataF
     near = spark.read.parquet(f"{folder}/near")
     few = near.where("hashes IS NULL").select("seed", "block", "did", "th", "place", "decided", "bytes").repartition("seed").sortWithinPartitions("seed", "block")
     spans = decided.unionByName(map_batches(few, rank_windows(length), "did long, th int, a long, b long")).unionByName(crowded_spans(near.where("hashes IS NOT NULL"), length))
-    out = cut(spans.groupBy("did", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    runs = map_batches(spans.withColumn("part", F.floor(F.col("a") / PART)).repartition("did", "th", "part").sortWithinPartitions("did", "th", "a"), merged, "did long, th int, a long, b long")
+    out = cut(runs.groupBy("did", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
     remove_folder(spark, folder)
     return out
 
 
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads spans (did, th, a, b) in order; yields the runs that they cover, parted only where batches end."""
+    for batch in batches:
+        did, th, a, b = (batch.column(c).to_numpy() for c in ("did", "th", "a", "b"))
+        if not len(a):
+            continue
+        new = np.ones(len(a), bool)
+        new[1:] = (did[1:] != did[:-1]) | (th[1:] != th[:-1])
+        # The greatest end so far in the same text: ends of later texts are lifted above all earlier ones.
+        lift = (np.cumsum(new) - 1) << 44
+        end = np.maximum.accumulate(b + lift)
+        new[1:] |= a[1:] + lift[1:] > end[:-1]
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(a)) - 1
+        yield pa.RecordBatch.from_arrays([pa.array(did[at]), pa.array(th[at]), pa.array(a[at]), pa.array((end - lift)[last])], ["did", "th", "a", "b"])
+
+
 def joined_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
     """Maximal runs of the bytes that spans cover, in order."""
     out: list[tuple[int, int]] = []
@@ -214,17 +255,19 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, se
     spans = repeated_spans(rows, length, seed, crowd).withColumnRenamed("did", "__d").withColumnRenamed("th", "__t")
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            gone = [joined_spans(s) for s in batch.column("spans").to_pylist()]
-            kept = []
-            for t, runs in zip(texts, gone, strict=True):
-                edges = [0, *(e for r in runs for e in r), len(t)]
-                kept.append(b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("did"), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t) - len(k) for t, k in zip(texts, kept, strict=True)], pa.int64()), pa.array([len(g) for g in gone], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in g] for g in gone], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
-                ["did", "n_bytes", "n_removed", "n_spans", "spans", "kept"],
-            )
+            at = 0
+            for texts in texts_in(batch.column("text")):
+                gone = [joined_spans(x) for x in batch.column("spans").slice(at, len(texts)).to_pylist()]
+                kept = []
+                for t, runs in zip(texts, gone, strict=True):
+                    edges = [0, *(e for r in runs for e in r), len(t)]
+                    kept.append(b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+                sizes = [pa.array(x, pa.int64()) for x in ([len(t) for t in texts], [len(t) - len(k) for t, k in zip(texts, kept, strict=True)], [len(g) for g in gone])]
+                did = batch.column("did").slice(at, len(texts))
+                at += len(texts)
+                yield pa.RecordBatch.from_arrays([did, *sizes, pa.array([[{"start": a, "end": b} for a, b in g] for g in gone], kind), pa.array(kept, pa.binary())], ["did", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
     met = rows.join(spans, (F.col("did") == F.col("__d")) & (F.col("th") == F.col("__t")), "left").select("did", "text", "spans")
     out = map_batches(met, removed, "did long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
