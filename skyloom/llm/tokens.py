@@ -236,9 +236,12 @@ class TokenCounter:
         raw = lambda s: bytes(shown[c] for c in s)
         pairs = [tuple(m.split(" ") if isinstance(m, str) else m) for m in spec["model"]["merges"]]
         special = {t["content"] for t in spec.get("added_tokens", ())}
+        if any(t.get(k) for t in spec.get("added_tokens", ()) for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that take blanks along or stand as words alone cannot be compiled")
         ranks = {raw(t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.counter = PieceCounter(ranks, {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)})
         self.special = re.compile("|".join(re.escape(t) for t in sorted(special, key=len, reverse=True))) if special else None
+        self.firsts = sorted({t[0] for t in special if t})  # a text without any of them holds no special string
 
     def count_batch(self, texts: list[str], most: int = 2_000_000) -> list[int]:
         """Token counts; texts are put together up to about most characters at a time."""
@@ -246,7 +249,7 @@ class TokenCounter:
         held, owners, size = [], [], 0
         for i, text in enumerate(texts):
             parts = [text]
-            if self.special and "<" in text and (found := self.special.findall(text)):
+            if any(c in text for c in self.firsts) and (found := self.special.findall(text)):
                 out[i] += len(found)
                 parts = self.special.split(text)
             for part in parts:
@@ -301,9 +304,12 @@ def token_counts(text: Column | str, path: str) -> Column:
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = counter_for(path)
         for column in batches:
-            texts = [x or "" for x in column.to_pylist()]
-            sizes = pa.array([len(t.encode()) for t in texts], pa.int64())
-            yield pa.StructArray.from_arrays([sizes, pa.array(machine.count_batch(texts), pa.int64())], ["n_bytes", "n_tokens"])
+            sizes, counts = [], []
+            for at in range(0, len(column), 1000):  # a second copy of a whole batch would be large
+                texts = [x or "" for x in column.slice(at, 1000).to_pylist()]
+                sizes += [len(t.encode()) for t in texts]
+                counts += machine.count_batch(texts)
+            yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["n_bytes", "n_tokens"])
 
     return counted(text)
 
