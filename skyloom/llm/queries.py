@@ -13,27 +13,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text) of all documents."""
+    from skyloom.llm.runtime import spread
+
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     from skyloom.llm.tokens import count_tokens
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return count_tokens(texts(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyloom.llm.licenses import scan_licenses
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return scan_licenses(texts(spark, sf_dir)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyloom.llm.toxicity import score_toxicity
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score_toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+    return score_toxicity(texts(spark, sf_dir), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +46,7 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
     from skyloom.llm.decontaminate import add_overlaps
 
-    found = add_overlaps(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).where(F.size("overlaps") > 0)
+    found = add_overlaps(texts(spark, sf_dir), table(spark, sf_dir, "benchmark")).where(F.size("overlaps") > 0)
     longest = F.array_max(F.transform("overlaps", lambda h: F.struct(h["words"].alias("words"), h["equal"].alias("equal"))))
     return found.select("doc_id", F.transform("overlaps", lambda h: h["item_id"]).alias("item_ids"), F.size("overlaps").cast("long").alias("n_items"), longest["words"].alias("overlap_words"), (longest["equal"] / longest["words"]).alias("similarity"))
 
@@ -56,13 +60,13 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyloom.llm.simhash import simhash_groups
 
-    return simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return simhash_groups(texts(spark, sf_dir))
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyloom.llm.lm import score_documents
 
-    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return score_documents(texts(spark, sf_dir))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +81,7 @@ def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from skyloom.llm.repeats import remove_repeats
 
-    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = remove_repeats(texts(spark, sf_dir))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
@@ -86,7 +90,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from skyloom.llm.lines import drop_repeated_lines
 
-    kept = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = drop_repeated_lines(texts(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

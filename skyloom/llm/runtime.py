@@ -62,6 +62,12 @@ def few(df: DataFrame, most: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if it comes in fewer parts than these, as a small file of one row group does."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow by another name, so that operators read alike."""
     return df.mapInArrow(fn, schema)
