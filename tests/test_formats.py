@@ -230,3 +230,11 @@ def test_master_attributes_and_lists(spark):
     with pytest.raises(KeyError):
         meta.chosen_variables(["a"], ["b"])
     assert filters.monotonic_range({"MONOTON": "INCREASE"}, 1, None) and not filters.monotonic_range({}, 1, 2)
+
+
+def test_metadata_is_edited():
+    f = File(sample(checksum=False))
+    edit = {("year", "FILLVAL"): None, (None, "Title"): ("CHAR", "another"), ("flux", "UNITS"): ("CHAR", "nT")}
+    g = File(changed(f, edit=edit, rename={"year": "Year", "RANGE": "SPAN"}, pads={"gaps": -5.0}))
+    assert files.attributes_of(g) == {"flux": {"SPAN": [1.0, 2.0], "UNITS": "nT"}} and g.attributes[0].entries == [("g", 0, "CHAR", "another")]
+    assert "Year" in g.variables and "year" not in g.variables and g.read("gaps").tolist() == [1, -5, -5, 2, 3]
