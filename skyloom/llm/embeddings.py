@@ -12,7 +12,8 @@ double precision, so no pair counts twice.
 Equal vectors of one label are one node with a weight. Crowded cells are tiled:
 rows are dealt to chunks, and each pair of chunks is a task of its own. Pairs
 never leave a tile; what leaves it are sums for each vector and a spanning
-forest of its links.
+forest of its links. Vectors travel as 4-byte numbers where these are exact, and
+scaled by a power of two, which changes no cosine but keeps squares finite.
 
 Defined results: null labels, and vectors that are null, empty, zero or hold
 null or non-finite components, link with nothing. Vectors of different lengths
@@ -34,8 +35,9 @@ from skyloom.llm.runtime import cut, id_of, map_batches, null_id_back
 
 COSINE = 0.98
 BLOCKS, GRID = 4, 2
-#: Rows of a cell that are compared in one tile, at most on average.
-CHUNK = 2048
+#: Rows of a cell that are compared in one tile, at most on average. A row of a crowded cell is sent once for each chunk of
+#: the cell, so larger chunks move less; a tile of two chunks of 64 dimensions takes some 30 MB.
+CHUNK = 8192
 SLACK = 1e-9
 
 
@@ -54,8 +56,29 @@ def unit(raw: np.ndarray) -> np.ndarray:
     return raw / np.sqrt((raw * raw).sum(1, keepdims=True))
 
 
+def packed(v: np.ndarray) -> bytes:
+    """The components, the largest scaled to between a half and one, in 4 bytes each where that is exact, else in 8; a last byte tells which."""
+    v = np.ldexp(v, -int(np.frexp(np.abs(v).max())[1]))
+    small = v.astype(np.float32)
+    return small.tobytes() + b"\4" if (small == v).all() else v.tobytes() + b"\x08"
+
+
+def dims_of(data: bytes) -> int:
+    return (len(data) - 1) // data[-1]
+
+
+def unpacked(rows: list[bytes], dims: int) -> np.ndarray:
+    """Rows of that many components as doubles."""
+    out = np.empty((len(rows), dims))
+    for size, kind in ((4, np.float32), (8, np.float64)):
+        at = [i for i, r in enumerate(rows) if r[-1] == size]
+        if at:
+            out[at] = np.frombuffer(b"".join(rows[i][:-1] for i in at), kind).reshape(-1, dims)
+    return out
+
+
 def prepared(rows: DataFrame, vector: str, label: str) -> DataFrame:
-    """(vid, label, raw): raw has the doubles of a vector that can link, else null."""
+    """(vid, label, raw): raw has the components of a vector that can link (see packed), else null."""
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,7 +86,7 @@ def prepared(rows: DataFrame, vector: str, label: str) -> DataFrame:
             for x, group in zip(batch.column("v").to_pylist(), batch.column("label").to_pylist(), strict=True):
                 ok = group is not None and x and None not in x
                 v = np.array(x, np.float64) + 0.0 if ok else None
-                raws.append(v.tobytes() if ok and np.isfinite(v).all() and v.any() else None)
+                raws.append(packed(v) if ok and np.isfinite(v).all() and v.any() else None)
             yield pa.RecordBatch.from_arrays([batch.column("vid"), batch.column("label"), pa.array(raws, pa.binary())], ["vid", "label", "raw"])
 
     return map_batches(rows.select(id_of("vec_id").alias("vid"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v")), checked, "vid long, label string, raw binary")
@@ -76,10 +99,10 @@ def cells(nodes: DataFrame, cosine: float) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws = batch.column("raw").to_pylist()
-            sizes = np.array([len(r) // 8 for r in raws])
+            sizes = np.array([dims_of(r) for r in raws])
             for dims in np.unique(sizes):
                 at = np.flatnonzero(sizes == dims)
-                turned = unit(np.frombuffer(b"".join(raws[i] for i in at)).reshape(-1, dims)) @ rotation(int(dims))
+                turned = unit(unpacked([raws[i] for i in at], int(dims))) @ rotation(int(dims))
                 borders = splits(int(dims), BLOCKS)
                 for block, (a, b) in enumerate(zip(borders, borders[1:], strict=False)):
                     reach = np.sqrt(budget * (b - a) / dims) + SLACK
@@ -178,7 +201,7 @@ def tile_links(cosine: float):
     """Reads rows sorted by tile; yields (a, b, links): sums with b null, and links of the forest with links null."""
 
     def table(rows: list[tuple]) -> tuple:
-        return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.frombuffer(b"".join(r[2] for r in rows)).reshape(len(rows), -1)
+        return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), unpacked([r[2] for r in rows], dims_of(rows[0][2]))
 
     def solved(key: tuple, rows: list[tuple]) -> pa.RecordBatch | None:
         left, right = [r[2:] for r in rows if r[0]], [r[2:] for r in rows if r[1]]
