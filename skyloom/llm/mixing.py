@@ -82,8 +82,9 @@ def thresholds(rows: DataFrame, budgets: DataFrame, few: bool) -> DataFrame:
         end = F.when(2 * rest >= F.col("x.words"), F.col("x.first") + 1).otherwise(F.col("x.first"))
         found = cross.select(F.col("source").alias("__s"), rest.alias("n_left"), F.shiftleft("x.bucket", shift).alias("n_low"), alone.alias("n_done"), F.when(alone, end).alias("n_threshold"))
         same = F.col("source").eqNullSafe(F.col("__s"))
+        # A row a source: one task holds the windows over them anyway.
         state = cut(
-            state.join(found, same, "left").select(
+            state.join(found, same, "left").coalesce(1).select(
                 "source",
                 F.coalesce("n_left", "left").alias("left"),
                 F.coalesce("n_low", "low").alias("low"),
@@ -108,13 +109,13 @@ def mix(docs: DataFrame, text: str = "text", weights: tuple = WEIGHTS, scale: fl
     spot = F.xxhash64(id_of("doc_id")).bitwiseAND(F.lit((1 << 63) - 1))
     sized = docs.drop(*clash).withColumns({"size": word_count(F.col(text)), "__mix_h": spot})
     rows = cut(sized.select("source", "size", F.col("__mix_h").alias("h")))
-    goal = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, scale, most))
+    goal = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, scale, most).coalesce(1))
     few = goal.limit(FEW + 1).count() <= FEW
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(most)))).otherwise(F.lit(0))
     goal = goal.withColumn("__mix_whole", whole.cast("int"))
     part = goal.withColumn("budget", F.col("target") - F.col("__mix_whole") * F.col("source_size")).where("budget > 0")
     limits = thresholds(rows, part.select("source", "budget"), few).select(F.col("source").alias("__s"), F.col("threshold").alias("__mix_limit"), F.lit(True).alias("__mix_part"))
-    goal = cut(goal.join(limits, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s"))
+    goal = cut(goal.join(limits, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s").coalesce(1))
     out = joined(sized, goal, few)
     extra = F.when(F.col("__mix_part").isNull(), 0).when(F.col("__mix_limit").isNull() | (F.col("__mix_h") < F.col("__mix_limit")), 1).otherwise(0)
     return out.withColumn("copies", (F.col("__mix_whole") + extra).cast("int")).withColumn("taken", F.col("size") * F.col("copies")).drop("__mix_h", "__mix_whole", "__mix_part", "__mix_limit")
