@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skyloom.llm.oracles import ORACLES  # noqa: F401
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -106,45 +108,3 @@ QUERIES: dict[str, Query] = {
     "op9_repeated_strings": op9_repeated_strings,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLES: dict[str, str] = {
-    "op4_embedding_near_dedup": r"""
-WITH RECURSIVE v AS (
-    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
-), ok AS (
-    SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
-    WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
-      AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
-), links AS MATERIALIZED (
-    SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
-    WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
-), reach AS (
-    SELECT vec_id AS a, vec_id AS b FROM v
-    UNION
-    SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
-), least AS (
-    SELECT a, min(b) AS component_id FROM reach GROUP BY a
-), sums AS (
-    SELECT a, count(*) AS n FROM links GROUP BY a
-)
-SELECT v.vec_id, coalesce(s.n, 0)::BIGINT AS n_links, c.component_id, v.vec_id = c.component_id AS kept
-FROM v JOIN least c ON v.vec_id = c.a LEFT JOIN sums s ON v.vec_id = s.a
-""",
-    "op10_line_dedup": r"""
-WITH lines AS (
-    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-    FROM documents
-), keyed AS (
-    SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed,
-           translate(trimmed, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-    FROM lines
-), owners AS (
-    SELECT key, min(doc_id) AS owner FROM keyed WHERE length(trimmed) >= 10 GROUP BY key
-), marked AS (
-    SELECT k.doc_id, k.line, k.pos, coalesce(o.owner < k.doc_id, false) AS gone
-    FROM keyed k LEFT JOIN owners o ON k.key = o.key AND length(k.trimmed) >= 10
-)
-SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
-""",
-}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm import decontaminate, embeddings, licenses, lines, lm, mixing, repeats, simhash, toxicity
 from skyloom.llm.components import components
+from skyloom.llm.queries import ORACLES, QUERIES
 from tests.llm.test_llm import prose
 
 DATA = "/root/testdata"
@@ -278,3 +279,28 @@ def test_rows_without_an_id_keep_one_of_a_group(spark):
     docs = spark.createDataFrame([(None, text), (None, text + " more"), (None, other), (4, other), (4, text + " x y"), (4, prose(rng, 50))], "doc_id long, text string")
     stays = simhash.near_copy_rows(docs).where("stays")
     assert stays.count() == 3 and stays.where("did = 4").count() == 3
+
+
+@pytest.mark.skipif(not os.path.isdir(f"{DATA}/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark"):
+        c.sql(f"create view {t} as select * from '{DATA}/sf0.001/{t}.parquet'")
+    df = QUERIES[name](spark, f"{DATA}/sf0.001")
+    want = c.sql(ORACLES[name])
+    assert want.columns == df.columns and sorted(map(tuple, df.collect())) == sorted(want.fetchall())
+
+
+def test_the_written_hash_is_the_hash():
+    """Texts of every length up to 120 bytes through op5's SQL and its fingerprint."""
+    import duckdb
+
+    c = duckdb.connect()
+    texts = ["x" * (n % 7) + "Yé"[: n % 3] + "abcdefghij" * (n // 10) + "z" * (n % 10) for n in range(120)] + [None, "", "two words", "A b c d"]
+    c.execute("create table documents (doc_id bigint, text varchar)")
+    c.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    got = {d: f for d, f, _ in c.sql(ORACLES["op5_simhash_near_dedup"]).fetchall()}
+    assert got == {i: f"{simhash.fingerprint((t or '').encode()):016x}" for i, t in enumerate(texts)}
