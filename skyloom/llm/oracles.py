@@ -190,7 +190,7 @@ WITH docs AS (
 ), counts AS (
     SELECT r, count(*) AS n_spans FROM spans GROUP BY r
 )
-SELECT d.doc_id, d.n::BIGINT AS n_bytes, (d.n - k.left_)::BIGINT AS n_removed, coalesce(c.n_spans, 0)::BIGINT AS n_spans, k.kept_sha256
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, (d.n - k.left_)::BIGINT AS n_removed, coalesce(c.n_spans, 0)::BIGINT AS n_spans, k.kept_sha256, d.n > k.left_ AS repeated
 FROM docs d JOIN kept k ON d.r = k.r LEFT JOIN counts c ON d.r = c.r
 """
 

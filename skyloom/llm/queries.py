@@ -84,7 +84,7 @@ def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyloom.llm.repeats import remove_repeats
 
     found = remove_repeats(texts(spark, sf_dir))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("repeated"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
