@@ -328,10 +328,11 @@ def merge_append(events):
     return M.append_records([a, b], "event_id")
 
 
-@query("events", "SELECT coalesce(a.event_id, b.event_id) AS event_id, a.value AS file1_value, b.value AS second_value FROM (SELECT * FROM events WHERE event_id % 2 = 0) a FULL JOIN (SELECT * FROM events WHERE event_id % 3 = 0) b ON a.event_id = b.event_id")
+@query("events", "SELECT coalesce(a.event_id, b.event_id) AS event_id, a.value AS file1_value, b.value AS second_value FROM (SELECT * FROM events WHERE coalesce(event_type, '') <> 'error') a FULL JOIN (SELECT * FROM events WHERE coalesce(event_type, '') <> 'view') b ON a.event_id = b.event_id")
 def merge_prefixed(events):
-    part = lambda n: events.where(F.col("event_id") % n == 0).select("event_id", "value")
-    return M.prefixed([part(2), part(3)], "event_id", ["file1", "second"])
+    """Two files that together hold all events, each without one type."""
+    part = lambda kind: events.where(F.coalesce("event_type", F.lit("")) != kind).select("event_id", "value")
+    return M.prefixed([part("error"), part("view")], "event_id", ["file1", "second"])
 
 
 @query("events", "SELECT CASE WHEN event_id >= 50 THEN event_id + 10 ELSE event_id END AS event_id, value FROM events UNION ALL SELECT event_id + 50, -value FROM events WHERE event_id < 10")
@@ -361,10 +362,11 @@ def attribute_pivot(documents):
     return Mt.attribute_pivot(long, "variable", "attribute", "value", ["lang", "source"])
 
 
-@query("documents", "SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'second' FROM documents WHERE doc_id % 2 = 1 AND doc_id % 3 = 0")
+@query("documents", "SELECT doc_id, lang FROM documents WHERE coalesce(lang, '') <> 'en' UNION ALL SELECT doc_id, 'second' FROM documents WHERE coalesce(lang, '') = 'en'")
 def attribute_merge(documents):
-    a = documents.where("doc_id % 2 = 0").select("doc_id", "lang")
-    return M.merge_attributes(a, documents.where("doc_id % 3 = 0").select("doc_id", F.lit("second").alias("lang")), ["doc_id"])
+    """Entries of the documents in other languages than English win over those that a second file has for all."""
+    first = documents.where("coalesce(lang, '') <> 'en'").select("doc_id", "lang")
+    return M.merge_attributes(first, documents.select("doc_id", F.lit("second").alias("lang")), ["doc_id"])
 
 
 @query("part", "SELECT p_partkey, rtrim(p_name) = rtrim(p_name || '   ') AS same, p_name ILIKE '%WIDGET' AS hit FROM part")
