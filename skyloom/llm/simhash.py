@@ -12,12 +12,15 @@ bucket a breadth-first walk over the fingerprints not yet reached finds links
 enough to connect what is connected, and never writes all pairs.
 
 near_copies links by similarity. SimHash fingerprints of five-word shingles that
-meet in a ball propose first, and what they connect is settled. At a similarity
-of 0.8 fingerprints of 64 bits differ in ten bits on average, beyond any ball that
-can be written out, so the rest is proposed in another way: two texts that share
-0.8 of their shingles share one of the rarest fifth of each. Long fingerprints of
-256 bits, read as estimates of the angle, then pass over pairs that are far apart
-(see FAR), and the share of common shingles, counted in full, decides on the rest.
+meet in a ball propose first. At a similarity of 0.8 fingerprints of 64 bits differ
+in ten bits on average, beyond any ball that can be written out, so the rest is
+proposed in another way: two texts that share 0.8 of their shingles share one of
+the rarest fifth of each, and long fingerprints of 256 bits, read as estimates of
+the angle, tell which of those that meet are near (see FAR). What is near is put
+together in neighbourhoods, inside which the shares of common shingles of all
+pairs, counted in full, decide. Neither pairs that meet nor pairs of a
+neighbourhood are ever written: crowded buckets and neighbourhoods are tiled, and
+what leaves a tile is a spanning forest.
 
 Defined results: null or wordless text has fingerprint zero, linked like any
 other; a null id ranks after every other id; rows with equal ids keep their own
@@ -28,12 +31,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm.components import components
@@ -168,10 +170,12 @@ WIDTH = 5
 #: Texts whose shingles are counted to put common ones last, and the count from which one is common. They set the order of
 #: the prefixes and so the number of candidates; the result is the same in any order.
 ORDERED_BY, COMMON = 5_000, 8
-#: Texts that are compared with one text in one piece of work; a text with more partners is sent to several.
-TOGETHER = 200
-#: Rows of a bucket of which all pairs are written at once; larger buckets go through rounds that join groups first.
-LARGE = 64
+#: Rows of a bucket of which all pairs are written; larger buckets are searched in tiles.
+SMALL = 8
+#: Rows of a bucket, texts of a neighbourhood and shingles of a neighbourhood in one chunk; a tile has two chunks.
+CHUNK, TEXTS, SHINGLES = 4096, 1024, 1_000_000
+
+
 #: Longs of a long fingerprint. Of two texts with at least LEAST shingles each those pairs are passed over whose
 #: fingerprints differ in more bits than pairs at the similarity asked for do, by FAR deviations: at 0.8 they differ in 39
 #: on average, with a deviation of 5.7, and over 67 pass for far. So a pair at 0.8 is passed over with a chance of less
@@ -286,18 +290,18 @@ def alike_bound(similarity: float):
     return lambda na, ia, nb, ib: np.minimum(ia, ib) + 1 + np.minimum(na - ia - 1, nb - ib - 1) >= share * (na + nb) - 1e-6
 
 
-def bucket_pairs(similarity: float, large: int):
-    """Reads rows (key, rep, size, at) sorted by key; yields pairs a > b (b not null) of buckets of up to large rows, and the rows of larger ones (a is the rep, b null)."""
+def bucket_pairs(similarity: float, small_up_to: int):
+    """Reads rows (key, rep, size, at) sorted by key; yields pairs a > b (b not null) of buckets of up to so many rows, and the rows of larger ones (a is the rep, b null)."""
     may = alike_bound(similarity)
 
     def pairs(key: np.ndarray, rep: np.ndarray, size: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(starts, len(key)))
-        big = np.repeat(sizes > large, sizes)
+        big = np.repeat(sizes > small_up_to, sizes)
         found = []
         small = np.flatnonzero(~big)
         k, r, n, i = key[small], rep[small], size[small].astype(np.int64), at[small].astype(np.int64)
-        for gap in range(1, min(large, int(sizes.max()))):
+        for gap in range(1, min(small_up_to, int(sizes.max()))):
             x = np.flatnonzero((k[gap:] == k[:-gap]) & (r[gap:] != r[:-gap]))
             if len(x):
                 y = x + gap
@@ -328,114 +332,101 @@ def bucket_pairs(similarity: float, large: int):
     return run
 
 
-def stored_texts(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the nodes, whose first rows are known by did and th. A task gives a text once."""
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            at = 0
-            for part in texts_in(batch.column("text")):
-                node = batch.column("node").slice(at, len(part)).to_pylist()
-                at += len(part)
-                fresh = [i for i, n in enumerate(node) if n not in seen and not seen.add(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in fresh], pa.int64()), pa.array([part[i] for i in fresh], pa.binary())], ["node", "text"])
-
-    met = texts.join(few(nodes.select("did", "th", "node")), ["did", "th"]).select("node", "text")
-    return map_batches(met, named, "node long, text binary")
+class Forest:
+    """Links that keep connected what is connected among the rows of one tile."""
 
+    def __init__(self, n: int):
+        self.label, self.links = np.arange(n), []
 
-def compared(similarity: float):
-    """Reads rows (b, salt, a, text) in this order, b's own text first with a null; yields the pairs that are similar enough."""
+    def reach(self, x: int, others: np.ndarray) -> None:
+        """Joins x with the rows others, by one link to each of the parts that they are in."""
+        labels, first = np.unique(self.label[others], return_index=True)
+        new = labels != self.label[x]
+        if new.any():
+            self.links += [(x, int(i)) for i in others[first[new]]]
+            self.label[np.isin(self.label, labels[new])] = self.label[x]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, own = None, None
-        for batch in batches:
-            at = 0
-            for part in texts_in(batch.column("text")):
-                b, salt, a = (batch.column(c).slice(at, len(part)).to_pylist() for c in ("b", "salt", "a"))
-                at += len(part)
-                links = []
-                for text, *where, other in zip(part, b, salt, a, strict=True):
-                    found = shingle_hashes(text)
-                    if other is None:
-                        group, own = where, found
-                    elif where == group:
-                        common = len(np.intersect1d(own, found, assume_unique=True))
-                        if common and common >= similarity * (len(own) + len(found) - common) - 1e-9:
-                            links.append((other, where[0]))
-                if links:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
+    def done(self, x: int, others: np.ndarray) -> bool:
+        return bool((self.label[others] == self.label[x]).all())
 
-    return run
 
+def tiled(rows: DataFrame, key: str, chunks: DataFrame) -> DataFrame:
+    """rows (key, rep, ...) dealt to tiles (key, i, j): chunk i of a key's rows beside chunk j; c tells a row's own. chunks: (key, k) of the keys with several."""
+    dealt = rows.join(few(chunks), key, "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("c", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+    beside = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least("c", j).alias("i"), F.greatest("c", j).alias("j")))
+    return dealt.withColumn("t", F.explode(beside)).select(*rows.columns, "c", "t.i", "t.j").repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
-def alike(pairs: DataFrame, store: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose texts, both in store (node, text), are similar enough.
 
-    One text of each pair travels to the other; a text with many partners is sent to
-    one place for every TOGETHER of them.
-    """
-    fan = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(TOGETHER)).cast("int").alias("k"))
-    salted = pairs.join(fan, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("k")).cast("int").alias("salt"))
-    guests = salted.join(store.withColumnRenamed("node", "a"), "a").select("b", "salt", "a", "text")
-    hosts = fan.join(store.withColumnRenamed("node", "b"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"), F.lit(None).cast("long").alias("a"), "text")
-    both = guests.unionByName(hosts).repartition("b", "salt").sortWithinPartitions("b", "salt", F.asc_nulls_first("a"))
-    return map_batches(both, compared(similarity), "a long, b long")
+def by_tile(key: str, columns: list[str], forest: Callable[..., Forest]):
+    """Reads rows sorted by tile; forest(left, right, columns ...) gets the places of the rows of both chunks and the columns, the first of them ids; yields (a, b) of its links."""
 
+    def solved(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if len(held) < 2:
+            return
+        c, i, j, *values = zip(*held, strict=True)
+        c = np.array(c)
+        found = forest(np.flatnonzero(c == i[0]), np.flatnonzero(c == j[0]), *values).links
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([values[0][x] for x, _ in found], pa.int64()), pa.array([values[0][y] for _, y in found], pa.int64())], ["a", "b"])
 
-def crowded(rows: DataFrame) -> DataFrame:
-    """The rows of buckets that hold more than one label."""
-    w = Window.partitionBy("key")
-    return rows.withColumns({"__low": F.min("label").over(w), "__high": F.max("label").over(w)}).where("__low < __high").drop("__low", "__high")
-
-
-def may_be_alike(na: Column, ia: Column, nb: Column, ib: Column, similarity: float) -> Column:
-    """Whether texts of na and nb shingles that meet at places ia and ib of their orders can be similar enough.
-
-    Up to there they have at most min(ia, ib) + 1 in common, and behind it the lesser rest.
-    """
-    return F.least(ia, ib) + 1 + F.least(na - ia - 1, nb - ib - 1) >= F.lit(similarity / (1 + similarity)) * (na + nb) - 1e-6
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in (key, "i", "j", "c", *columns)), strict=True):
+                if row[:3] != tile:
+                    yield from solved(held)
+                    tile, held = row[:3], []
+                held.append((row[3], row[1], row[2], *row[4:]))
+        yield from solved(held)
 
+    return run
 
-def some_partners(met: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): for each text at most two of those it meets under another label, over all its buckets; a > b.
 
-    A guess that joins large groups cheaply; nothing rests on what it leaves out.
-    """
-    w = Window.partitionBy("key").orderBy("label", "rep")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    row = F.struct("rep", "label", "size", "at")
-    near = met.select("rep", "label", "size", "at", F.first(row).over(whole).alias("head"), F.lag(row).over(w).alias("before"), F.last(row).over(whole).alias("tail"))
+def near_forest(similarity: float):
+    """Links of the rows of a bucket that may be alike and are near by their long fingerprints."""
+    may, most = alike_bound(similarity), most_apart(similarity)
 
-    def other(c: str) -> Column:
-        x = F.col(c)
-        return F.when((x["label"] != F.col("label")) & may_be_alike(F.col("size"), F.col("at"), x["size"], x["at"], similarity), x["rep"])
+    def forest(left: np.ndarray, right: np.ndarray, rep, size, at, *prints) -> Forest:
+        out = Forest(len(rep))
+        size, at, prints = np.array(size, np.int64), np.array(at, np.int64), np.array(prints, np.int64).view(np.uint64)
+        for x in left:
+            if not out.done(x, right):
+                apart = np.bitwise_count(prints[:, right] ^ prints[:, x, None]).sum(0)
+                near = ((apart <= most) | (np.minimum(size[right], size[x]) < LEAST)) & may(size[right], at[right], size[x], at[x])
+                out.reach(x, right[near])
+        return out
 
-    kept = near.select("rep", other("head").alias("head"), F.coalesce(other("before"), other("tail")).alias("before")).groupBy("rep").agg(F.min("head").alias("head"), F.max("before").alias("before"))
-    pairs = kept.select("rep", F.explode(F.array("head", "before")).alias("with")).where("with IS NOT NULL")
-    return pairs.select(F.greatest("rep", "with").alias("a"), F.least("rep", "with").alias("b")).distinct()
+    return forest
 
 
-def all_partners(met: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a > b: all texts that meet in some bucket under different labels and may be similar enough."""
-    x, y = (met.select("key", F.col("rep").alias(c), F.col("label").alias(f"l{c}"), F.col("size").alias(f"n{c}"), F.col("at").alias(f"i{c}")) for c in "ab")
-    may = may_be_alike(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib"), similarity)
-    return x.join(y, "key").where((F.col("la") != F.col("lb")) & (F.col("a") > F.col("b")) & may).select("a", "b").distinct()
+def alike_forest(similarity: float):
+    """Links of the texts of a neighbourhood whose share of common shingles is large enough."""
 
+    def forest(left: np.ndarray, right: np.ndarray, rep, text) -> Forest:
+        out, sets = Forest(len(rep)), [shingle_hashes(t) for t in text]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        # Who of the right holds a shingle, by shingle.
+        hashes = np.concatenate([sets[r] for r in right])
+        order = np.argsort(hashes, kind="stable")
+        hashes, owner = hashes[order], np.repeat(np.arange(len(right)), sizes[right])[order]
+        for x in left:
+            if out.done(x, right):
+                continue
+            a, b = np.searchsorted(hashes, sets[x], "left"), np.searchsorted(hashes, sets[x], "right")
+            n = b - a
+            spots = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            common = np.bincount(owner[spots], minlength=len(right))
+            out.reach(x, right[(common > 0) & (common >= similarity * (sizes[x] + sizes[right] - common) - 1e-9)])
+        return out
 
-def two_partners(pairs: DataFrame) -> DataFrame:
-    """Of pairs (a, b), a > b, those of each a with its least and its greatest b."""
-    some = pairs.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
-    return some.select("a", F.explode(F.array("low", "high")).alias("b")).distinct()
+    return forest
 
 
-def printed_partners(nodes: DataFrame, radius: int) -> DataFrame:
-    """(a, b), a > b: for each text at most two whose short fingerprint is equal or meets its own in a ball. nodes: (node, f0)."""
+def printed_links(nodes: DataFrame, radius: int) -> DataFrame:
+    """(a, b) between texts whose short fingerprints are equal or meet in a ball. nodes: (node, f0)."""
     prints = nodes.groupBy(F.col("f0").alias("fp")).agg(F.min("node").alias("rep"))
     equal = nodes.join(prints, F.col("f0") == F.col("fp")).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    met = ball_links(prints, radius).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return equal.unionByName(two_partners(met)).distinct()
+    return equal.unionByName(ball_links(prints, radius).where("a <> b"))
 
 
 def most_apart(similarity: float) -> float:
@@ -453,37 +444,24 @@ def not_far(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     return pairs.where((F.least("na", "nb") < LEAST) | (apart <= F.lit(most_apart(similarity)))).select("a", "b")
 
 
-def labelled(rows: DataFrame, roots: DataFrame, name: str, label: str) -> DataFrame:
-    """rows with the component of the node in a column."""
-    return rows.join(roots.withColumnRenamed("node", "__node"), F.col(name) == F.col("__node"), "left").withColumn(label, F.coalesce("component", name)).drop("__node", "component")
-
+def near_links(texts: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that connect all texts that share a key and are near, directly or through others."""
+    dealt = dealt_keys(texts, similarity).repartition("key").sortWithinPartitions("key", "rep")
+    met = cut(map_batches(dealt, bucket_pairs(similarity, SMALL), "a long, b long, key long, size int, at int"))
+    pairs = not_far(met.where("b IS NOT NULL").select("a", "b").distinct(), nodes, similarity)
+    crowd = met.where("b IS NULL").select("key", F.col("a").alias("rep"), "size", "at").join(nodes.select(F.col("node").alias("rep"), *PRINTS), "rep").select("key", "rep", "size", "at", *PRINTS)
+    chunks = crowd.groupBy("key").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("k")).where("k > 1")
+    tiles = tiled(crowd, "key", chunks)
+    return pairs.unionByName(map_batches(tiles, by_tile("key", ["rep", "size", "at", *PRINTS], near_forest(similarity)), "a long, b long"))
 
-def linked_copies(pairs: DataFrame, crowd: DataFrame, first: DataFrame, nodes: DataFrame, verified: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """(node, component) as components gives them: every one of the pairs, and every two texts that share a key in crowd (key, rep, size, at), is verified or already connected, unless its fingerprints are far apart.
 
-    First come the pairs of first and two partners of each text, then once more two
-    of each text in crowd, and last all that are left between different components.
-    """
-    roots, tried, links = None, [], []
-    for last in (False, False, True):
-        met = crowd.withColumn("label", F.col("rep")) if roots is None else labelled(crowd, roots, "rep", "label")
-        met = cut(crowded(met))
-        if met.isEmpty() and roots is not None and not last:
-            continue
-        found = all_partners(met, similarity) if last else some_partners(met, similarity)
-        found = cut(not_far(found, nodes, similarity))
-        if roots is None:
-            found = found.unionByName(two_partners(pairs)).unionByName(first)
-        elif last:
-            apart = labelled(labelled(pairs, roots, "a", "la"), roots, "b", "lb").where("la <> lb")
-            found = found.unionByName(apart.select("a", "b"))
-        found = found.distinct()
-        for x in tried:
-            found = found.join(x, ["a", "b"], "left_anti")
-        tried.append(cut(found))
-        links.append(cut(verified(tried[-1])))
-        roots = components(reduce(DataFrame.unionByName, links))
-    return roots
+def alike_links(texts: DataFrame, nodes: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that connect all texts of a neighbourhood that are similar enough, directly or through others. near: (node, component)."""
+    inside = near.unionByName(near.select(F.col("component").alias("node"), "component").distinct())
+    members = cut(nodes.select("node", "did", "th", "size").join(inside, "node"))
+    sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / F.lit(TEXTS)), F.ceil(F.sum("size") / F.lit(SHINGLES))).cast("int").alias("k")).where("k > 1")
+    found = texts.join(few(members.select("did", "th", F.col("node").alias("rep"), "component")), ["did", "th"]).select("component", "rep", F.col("text").cast("binary").alias("text"))
+    return map_batches(tiled(found, "component", sizes), by_tile("component", ["rep", "text"], alike_forest(similarity)), "a long, b long")
 
 
 def near_copy_rows(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, radius: int = 2) -> DataFrame:
@@ -495,16 +473,8 @@ def near_copy_rows(docs: DataFrame, text: str = "text", similarity: float = SIMI
     texts = docs.select(id_of("doc_id").alias("did"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text")).select("did", "th", "text")
     rows = cut(sketches(texts))
     nodes = cut(rows.groupBy("node").agg(F.min(F.struct("did", "th")).alias("row"), *(F.min(c).alias(c) for c in ("size", *PRINTS))).select("node", "row.did", "row.th", "size", *PRINTS))
-    dealt = dealt_keys(texts, similarity).repartition("key").sortWithinPartitions("key", "rep")
-    met = cut(map_batches(dealt, bucket_pairs(similarity, LARGE), "a long, b long, key long, size int, at int"))
-    pairs = cut(not_far(met.where("b IS NOT NULL").select("a", "b").distinct(), nodes, similarity))
-    crowd = met.where("b IS NULL").select("key", F.col("a").alias("rep"), "size", "at").dropDuplicates(["key", "rep"])
-
-    def verified(found: DataFrame) -> DataFrame:
-        needed = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return alike(found, cut(stored_texts(texts, nodes.join(needed, "node", "left_semi"))), similarity)
-
-    roots = linked_copies(pairs, crowd, printed_partners(nodes, radius), nodes, verified, similarity)
+    near = components(printed_links(nodes, radius).unionByName(near_links(texts, nodes, similarity)))
+    roots = components(alike_links(texts, nodes, near, similarity))
     found = rows.select("did", "th", "node").join(roots, "node", "left").select("did", "th", F.coalesce("component", "node").alias("root"))
     least = found.groupBy("root").agg(F.min(F.struct("did", "th")).alias("first"))
     return found.join(least, "root").select("did", "th", F.col("first.did").alias("component"), (F.struct("did", "th") == F.col("first")).alias("stays"))
