@@ -304,3 +304,18 @@ def test_the_written_hash_is_the_hash():
     c.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
     got = {d: f for d, f, _ in c.sql(ORACLES["op5_simhash_near_dedup"]).fetchall()}
     assert got == {i: f"{simhash.fingerprint((t or '').encode()):016x}" for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_components_in_one_task_or_many(spark, few, monkeypatch):
+    import skyloom.llm.components as C
+
+    monkeypatch.setattr(C, "FEW_EDGES", few)
+    rng = random.Random(6)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)]
+    root = {i: i for e in edges for i in e}
+    for _ in range(70):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: r for i, r in root.items() if r != i}
