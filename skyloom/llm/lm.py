@@ -42,7 +42,7 @@ HEAD, LONGEST = 200_000, 64
 #: Steps of the histogram of counts for each doubling.
 STEPS = 64
 #: Size of the state, and words that the network tells apart, at most; classes and the words in each are about the square root of it.
-HIDDEN, FREQUENT = 16, 2048
+HIDDEN, FREQUENT = 16, 1024
 #: Tokens of a window, and streams side by side, at most; fewer where that leaves under UPDATES windows.
 WINDOW, STREAMS, UPDATES = 24, 512, 64
 #: Each round trains on the training documents whose id hash falls in its one of so many parts; as many rounds as parts take all.
@@ -420,30 +420,32 @@ def score_documents(docs: DataFrame, text: str = "text", head: int = HEAD, round
         for batch in batches:
             seqs, parts = [], []
             for texts in texts_in(batch.column("text"), SIDE):
-                sizes, known, sums, model, tails = [], [], [], [], []
-                for t in texts:
-                    words = t.lower().split()
-                    words.append(END)
-                    ids = vocab.ids(words)
-                    inside = ids[ids >= 0]
-                    tails.append(Counter(words[i] for i in np.flatnonzero(ids < 0)) if len(inside) < len(ids) else Counter())
-                    sizes.append(len(ids))
-                    known.append(len(inside))
-                    sums.append(float(logs[inside].sum()))
-                    # Inside the class of all others: the head's part here, the rest after the join.
-                    model.append(float(logs[inside[inside >= top]].sum()) - floor * int(((ids < 0) | (ids >= top)).sum()))
-                    seqs.append(np.where((ids < 0) | (ids >= top), net.rare, ids).astype(np.int32))
-                flat = [x for t in tails for x in t.items()]
-                offsets = np.concatenate([[0], np.cumsum([len(t) for t in tails])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array([w for w, _ in flat], pa.binary()), pa.array([n for _, n in flat], pa.int64())], ["word", "tf"]))
-                parts.append((sizes, known, sums, model, lists))
+                lists = [t.lower().split() for t in texts]
+                words = [w for x in lists for w in (*x, END)]
+                sizes = np.array([len(x) + 1 for x in lists], np.int64)
+                starts = np.cumsum(sizes) - sizes
+                ids = vocab.ids(words)
+                inside = ids >= 0
+                rare = ~inside | (ids >= top)
+                each = np.where(inside, logs.take(np.maximum(ids, 0)), 0.0) if len(logs) else np.zeros(len(ids))
+                sums, known = np.add.reduceat(each, starts), np.add.reduceat(inside.astype(np.int64), starts)
+                # Inside the class of all others: the head's part here, the rest after the join.
+                model = np.add.reduceat(np.where(rare, each - floor, 0.0), starts)
+                seqs += np.split(np.where(rare, net.rare, ids).astype(np.int32), starts[1:])
+                beyond = np.flatnonzero(~inside)
+                owners = np.searchsorted(starts, beyond, "right") - 1
+                found = Counter(zip(owners.tolist(), (words[i] for i in beyond.tolist()), strict=True))
+                order = sorted(found, key=lambda x: x[0])
+                offsets = np.searchsorted(np.array([i for i, _ in order], np.int64), np.arange(len(texts) + 1)).astype(np.int32)
+                tails = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array([w for _, w in order], pa.binary()), pa.array([found[x] for x in order], pa.int64())], ["word", "tf"]))
+                parts.append((sizes, known, sums, model, tails))
             # Only numbers are left of the texts, so the whole batch goes through the network side by side.
             net_part = net.score(seqs) / math.log(10) if vocab.tokens else np.zeros(len(seqs))
             at = 0
-            for sizes, known, sums, model, lists in parts:
+            for sizes, known, sums, model, tails in parts:
                 n = len(sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("did").slice(at, n), batch.column("held_out").slice(at, n), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(np.array(model) + net_part[at : at + n], pa.float64()), lists],
+                    [batch.column("did").slice(at, n), batch.column("held_out").slice(at, n), pa.array(sizes), pa.array(known), pa.array(sums), pa.array(model + net_part[at : at + n]), tails],
                     ["did", "held_out", "n_tokens", "n_head", "head_logs", "model", "tail"],
                 )
                 at += n
