@@ -155,6 +155,21 @@ def test_long_texts_are_sampled_in_pieces(spark):
     assert pieces == whole
 
 
+@pytest.mark.parametrize("crowd", [1000, 5])
+def test_passages_of_over_50_words_go_from_400_bytes(spark, crowd):
+    """One passage in twenty documents, whose neighbours there all differ: bytes decide, not words."""
+    rng = random.Random(6)
+    rows = []
+    for size in (399, 400, 401):
+        words = [f"{rng.randrange(10**6):06d}" for _ in range(56)]
+        passage = f" {' '.join(words)} ".ljust(size - 1, "x") + " "
+        assert len(passage) == size and len(passage.split()) > 50
+        rows += [(size * 100 + k, prose(rng, 20) + chr(65 + k) + passage + chr(65 + k) + prose(rng, 20)) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in repeats.remove_repeats(docs, crowd=crowd).collect()}
+    assert got == {d: (d // 100, 1) if d >= 40_000 else (0, 0) for d, _ in rows}
+
+
 @pytest.mark.skipif(not os.path.isdir(f"{DATA}/sf0.01"), reason="no test tables")
 def test_repeats_of_a_table_are_brute_force(spark):
     """Lengths and hashes over all documents of a table."""
